@@ -9,9 +9,21 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Tables whose rows take much computing.
+TEXT_TABLES = ("documents",)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One input table; parquet keeps column pruning and filter pushdown available to Catalyst."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One input table; parquet keeps column pruning and filter pushdown available to Catalyst.
+
+    A table of long texts in so few files that most cores would idle is spread over them (projections and filters
+    still reach the scan). Inputs with as many splits as half the cores, so any large input, are read as they lie.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in TEXT_TABLES and df.rdd.getNumPartitions() * 2 < cores:
+        return df.repartition(cores)
+    return df
 
 
 def shared_dir(spark: SparkSession) -> str:

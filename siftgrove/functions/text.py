@@ -20,10 +20,11 @@ FOLDS = {"ß": "ss", "ſ": "s", "ŉ": "ʼn", "ǰ": "ǰ", "ẖ": "ẖ", "ẗ": "
 
 def fold(c: Column) -> Column:
     """Full case folding; null becomes the empty string."""
-    out = F.lower(F.coalesce(c, F.lit("")))
+    low = F.lower(F.coalesce(c, F.lit("")))
+    out = low
     for a, b in FOLDS.items():
         out = F.replace(out, F.lit(a), F.lit(b))
-    return out
+    return F.when(c.rlike(f"[ẞ{''.join(FOLDS)}]"), out).otherwise(low)  # most texts hold none of them
 
 
 def tokens_all(c: Column) -> Column:

@@ -7,12 +7,13 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..config import FuzzyConfig
 from ..functions import text
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp similarity; Spark has no built-in for it."""
     return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
@@ -27,7 +28,7 @@ def shortlist(vocabulary: DataFrame, terms: list[str], config: FuzzyConfig = Fuz
     spark = vocabulary.sparkSession
     asked = spark.createDataFrame([(t,) for t in sorted(set(terms))], "query_term string").withColumn("q_grams", text.kgrams(F.col("query_term"), config.k))
     asked = asked.select("query_term", F.size("q_grams").alias("nq"), F.explode("q_grams").alias("gram"))
-    grams = vocabulary.select("term").withColumn("grams", text.kgrams(F.col("term"), config.k)).select("term", F.size("grams").alias("nt"), F.explode("grams").alias("gram"))
+    grams = vocabulary.select("term").withColumn("grams", text.kgrams(F.col("term"), config.k)).select("term", F.size("grams").alias("nt"), F.explode_outer("grams").alias("gram"))
     shared = grams.join(F.broadcast(asked), "gram").groupBy("query_term", "term", "nq", "nt").agg(F.count(F.lit(1)).alias("both"))
     scored = shared.select("query_term", "term", F.round(F.col("both") / (F.col("nq") + F.col("nt") - F.col("both")), 6).alias("jaccard")).filter(F.col("jaccard") >= config.jaccard_min)
     order = Window.partitionBy("query_term").orderBy(F.desc("jaccard"), "term")

@@ -39,7 +39,8 @@ def postings(documents: DataFrame, terms: list[str] | None = None, config: RankC
     keep = (lambda c: F.filter(text.tokens_all(c), lambda t: t.isin(*terms))) if terms is not None else text.tokens
     marked = lambda c, w: F.transform(keep(c), lambda t: F.struct(t.alias("term"), F.lit(w).alias("w")))
     both = F.concat(marked(F.col("content"), 1), marked(F.col("title"), max(1, config.title_boost)))
-    pairs = documents.select("doc_id", F.explode(both).alias("p")).select("doc_id", "p.term", "p.w")
+    # the outer explode keeps Catalyst from computing the tokens once more as a filter below
+    pairs = documents.select("doc_id", F.explode_outer(both).alias("p")).filter("p is not null").select("doc_id", "p.term", "p.w")
     return pairs.groupBy("term", "doc_id").agg(F.sum("w").alias("tf"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import RankConfig
 from ..functions import text, urls
-from .index import corpus, document_frequencies, lengths, postings
+from .index import corpus, document_frequencies, lengths
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -18,17 +18,25 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return each.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"), F.min("pos").alias("pos"))
 
 
+def matches(docs: DataFrame, terms: list[str], config: RankConfig = RankConfig()) -> DataFrame:
+    """(term, doc_id, tf, dl): postings of some terms with the document's length, from one scan and one small shuffle."""
+    body, head = text.tokens_all(F.col("content")), text.tokens_all(F.col("title"))
+    kept = lambda c, w: F.transform(F.filter(c, lambda t: t.isin(*terms)), lambda t: F.struct(t.alias("term"), F.lit(w).alias("w")))
+    some = docs.select("doc_id", F.size(text.without_stopwords(body)).alias("dl"), F.concat(kept(body, 1), kept(head, max(1, config.title_boost))).alias("p"))
+    return some.select("doc_id", "dl", F.explode_outer("p").alias("p")).filter("p is not null").groupBy("p.term", "doc_id", "dl").agg(F.sum("p.w").alias("tf"))
+
+
 def bm25(documents: DataFrame, queries: list[tuple[int, str]], config: RankConfig = RankConfig(), limit: int | None = None, preferred: str | None = None) -> DataFrame:
     """(query_id, doc_id, score, base_rank) of the best ``limit`` documents of each query.
 
     The query list comes from the caller's memory, so its tables are broadcast. Terms above ``max_df_ratio`` only add
-    to documents that a rarer term, or one of the two rarest, has found: a semi-join instead of an ordered loop.
+    to documents that a rarer term, or one of the two rarest, has found: a flag of the score's aggregation instead of an ordered loop.
     """
     spark = documents.sparkSession
     docs = corpus(documents)
     asked = query_terms(spark.createDataFrame(queries, "query_id int, query string"))
     terms = sorted({r.term for r in asked.select("term").distinct().collect()})  # the caller's own words
-    posts = postings(docs, terms, config)
+    posts = matches(docs, terms, config)
     stats = lengths(docs).agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.nullif(F.avg("dl"), F.lit(0.0)), F.lit(1.0)).alias("avgdl"))
     order = Window.partitionBy("query_id").orderBy("df", "pos")
     plan = (
@@ -38,11 +46,10 @@ def bm25(documents: DataFrame, queries: list[tuple[int, str]], config: RankConfi
         .withColumn("expands", (F.col("rn") <= config.seed_terms) | (F.col("df") <= F.greatest(F.lit(1.0), config.max_df_ratio * F.col("n_docs"))))
     )
     hits = posts.join(F.broadcast(plan), "term")
-    found = hits.filter("expands").select("query_id", "doc_id").distinct()
-    scored = hits.join(found, ["query_id", "doc_id"], "left_semi").join(lengths(docs), "doc_id")
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (config.k1 + 1) / (F.col("tf") + config.k1 * (1 - config.b + config.b * F.col("dl") / F.col("avgdl")) + 1e-9)
-    scores = scored.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("qtf") * weight), 6).alias("score"))
+    # a document counts if any term that may expand has found it
+    scores = hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("qtf") * weight), 6).alias("score"), F.bool_or("expands").alias("found")).filter("found").drop("found")
     if preferred:
         spoken = scores.join(docs.select("doc_id", "language"), "doc_id").withColumn("same", F.col("language").startswith(preferred))
         some = F.max("same").over(Window.partitionBy("query_id"))

@@ -19,7 +19,7 @@ def chunk_starts(n: Column, config: ChunkConfig) -> Column:
 def chunks(documents: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFrame:
     """(doc_id, chunk_index, content, token_count, content_hash, quality_score): overlapping word windows."""
     parts = documents.select("doc_id", text.words(F.col("content")).alias("w"), text.quality_score(F.col("title"), F.col("content")).alias("quality_score"))
-    at = parts.select("doc_id", "w", "quality_score", F.posexplode(chunk_starts(F.size("w"), config)).alias("chunk_index", "s"))
+    at = parts.select("doc_id", "w", "quality_score", F.posexplode_outer(chunk_starts(F.size("w"), config)).alias("chunk_index", "s")).filter("s is not null")
     cut = at.select("doc_id", "chunk_index", F.array_join(F.slice("w", F.col("s") + 1, config.max_tokens), " ").alias("content"), "quality_score")
     return cut.select("doc_id", "chunk_index", "content", F.size(text.tokens_all(F.col("content"))).alias("token_count"), text.sha(F.col("content")).alias("content_hash"), "quality_score")
 

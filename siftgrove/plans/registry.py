@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import corpus_plans, search_plans, stream_plans
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return search_plans.queries() | corpus_plans.queries() | stream_plans.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return search_plans.oracle_sql() | corpus_plans.oracle_sql() | stream_plans.oracle_sql()

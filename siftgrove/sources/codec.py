@@ -8,14 +8,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, FloatType
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def to_blob(vectors: pd.Series) -> pd.Series:
     return vectors.map(lambda v: None if v is None else zlib.compress(np.asarray(v, dtype="<f4").tobytes(), 6))
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(ArrayType(FloatType()))
 def from_blob(blobs: pd.Series) -> pd.Series:
     """Vectors of blobs; empty or broken blobs give an empty vector."""
 

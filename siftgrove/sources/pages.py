@@ -10,6 +10,7 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 SKIPPED = {"script", "style", "noscript"}
 # Link schemes that are never followed.
@@ -87,7 +88,7 @@ def html_language(html: Column) -> Column:
     return F.regexp_extract(html, r"(?i)<html[^>]*\blang=\"([^\"]*)\"", 1)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decode(raw: pd.Series) -> pd.Series:
     """Bytes to text: gunzipped where they begin like gzip, UTF-8 with bad bytes dropped."""
 
