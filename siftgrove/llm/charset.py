@@ -127,10 +127,10 @@ class Model:
         out = _undo(text, self.bytes[how[1]], how[0])
         return _undo(out, self.bytes[how[2]], how[0]) if len(how) > 2 and out is not None else out
 
-    def evidence(self, run: tuple[str, str, str]) -> np.ndarray | None:
+    def evidence(self, run: tuple[str, str, str]) -> np.ndarray:
         """Log-likelihood of every state over the clean state for a run of characters between its neighbours.
 
-        The last state is that of lost characters. None where no state gains.
+        The last state is that of lost characters. A pair that leaves the run as it is gains and loses nothing.
         """
         before, text, after = (" " if c in "\t\n\r" else c for c in run)
         clean = self.likelihood(before, text, after)
@@ -143,10 +143,12 @@ class Model:
             if not chars <= self.usable[s] or (self.first[s] is not None and some[0] not in self.first[s]):
                 continue
             back = some.translate(self.tables[s]) if self.tables[s] is not None else self.inverse(some, s)
-            if back is not None and back != text:
+            if back == text:
+                out[s] = 0.0
+            elif back is not None:
                 signs = sum(x.isalpha() and x in self.given and not y.isalpha() and (back + after)[i + 1].isalpha() for i, (x, y) in enumerate(zip(text, back))) if len(back) == len(text) else 0
                 out[s] = max(-60.0, self.likelihood(before, back, after) - clean - SIGN_IN_WORD * signs)
-        return out if out.max() > 0 else None
+        return out
 
 
 def _undo(text: str, table: dict[str, int], written: str) -> str | None:
@@ -181,27 +183,28 @@ class Labeller:
         found = set(runs)
         if found <= self.clean:
             return []
-        if len(self.clean) + len(self.gain) > self.keep:
+        if len(self.gain) > self.keep:
             self.clean.clear()
             self.gain.clear()
             self.most.clear()
         for run in found - self.clean:
             if run not in self.gain:
-                if (gain := self.model.evidence(run)) is None:
+                gain = self.gain[run] = self.model.evidence(run)
+                if gain.max() > 0:
+                    self.most[run] = float(gain.max())
+                else:
                     self.clean.add(run)
-                    continue
-                self.gain[run], self.most[run] = gain, float(gain.max())
         if sum(map(self.most.get, runs, repeat(0.0))) <= ENTER:
             return []
         return [(a - 1, b - 1, s) for a, b, s in self._viterbi(list(RUN.finditer(text)))]
 
     def _viterbi(self, runs: list[re.Match]) -> list[tuple[int, int, int]]:
         n = len(self.model.states) + 1
-        none, every = np.full(n, -60.0), np.arange(n)
+        every = np.arange(n)
         clean, garbled = 0.0, np.full(n, -np.inf)
         back_clean, back_garbled = [], []
         for m in runs:
-            gain = self.gain.get(m.groups(), none)
+            gain = self.gain[m.groups()]
             top = int(garbled.argmax())
             other = max(clean - ENTER, garbled[top] - CHANGE)
             come = np.maximum(garbled, other)
