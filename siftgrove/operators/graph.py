@@ -38,7 +38,9 @@ def pagerank(edges: DataFrame, config: GraphConfig = GraphConfig(), iterations:
     nodes = stored(degrees(edges).select("node", "out_degree"), "nodes")
     weighted = stored(edges.join(nodes.withColumnRenamed("node", "src"), "src").select("src", "dst", "out_degree"), "edges")
     n = nodes.count()
-    ranks = nodes.select("node", "out_degree", F.lit(1.0 / max(n, 1)).alias("rank"))
+    if not n:
+        return nodes.select("node", F.lit(0.0).alias("rank"))
+    ranks = nodes.select("node", "out_degree", F.lit(1.0 / n).alias("rank"))
     for _ in range(iterations or config.max_iterations):
         sink = ranks.filter("out_degree = 0").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("sink"))
         came = weighted.join(ranks.select(F.col("node").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") / F.col("out_degree")).alias("came"))
