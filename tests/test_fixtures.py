@@ -107,7 +107,7 @@ def test_sitemap(spark):
 def test_html():
     html = '<html lang="tr"><title>T &amp; U</title><script>x</script><p>one<br>two<a href="/b">b</a><a href="mailto:x">m</a><img src="i.png" alt=" A "><style>s</style></html>'
     title, body, links, images, lang = pages.parse_page(html, "https://h.example/a/")
-    assert (title, body, links, images, lang) == ("T & U", "T & U one two b", ["https://h.example/b"], [("https://h.example/a/i.png", "A")], "tr")
+    assert (title, body, links, images, lang) == ("T & U", "T & U one two b m", ["https://h.example/b"], [("https://h.example/a/i.png", "A")], "tr")
     assert pages.parse_page(None, None) == ("", "", [], [], "")
 
 
