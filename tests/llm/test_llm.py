@@ -113,6 +113,23 @@ def test_pages(spark, samples):
     assert article.startswith("The ") and article.endswith("town.")
 
 
+def test_stuffed_sentences(spark, samples):
+    """Keywords with sentence marks are no article, however many; articles with repeated names stay articles."""
+    rng = random.Random(11)
+    rows = page_rows()
+    stuffed = lambda: " ".join(f"{a} {w}{rng.choice('.?!')}" for a, w in [(rng.choice(("Cheap", "Best price", "Top 10", "Online", "Buy")), rng.choice(("car rental", "sofa bed"))) for _ in range(50)])
+    named = "The old harbour office in the town of Kalmar has measured the old harbour office for the third year. " * 2
+    article = rows[0]["content"].split("\n")[3:6]
+    rows.append({"doc_id": 900, "url": "https://shop.example/a", "title": "A", "content": f"{stuffed()}\n{stuffed()}"})
+    rows.append({"doc_id": 901, "url": "https://paper.example/b", "title": "B", "content": "\n".join([named.strip(), *article, *rows[1]["content"].split("\n")[3:6]])})
+    plain = " ".join(f"{rng.choice(('cheap', 'best', 'buy', 'online'))} watch strap" for _ in range(90)) + "."
+    rows.append({"doc_id": 902, "url": "https://shop.example/c", "title": "C", "content": plain})
+    rows.append({"doc_id": 903, "url": "https://paper.example/d", "title": "D", "content": "\n".join(article * 3)})
+    d = docs(spark, rows)
+    assert {r.doc_id for r in pages.stuffed_pages(d, samples).collect()} == {i for i in range(160) if i % 40 == 21} | {900, 902}
+    assert not [r for r in pages.wrapper_lines(d, samples).filter("doc_id = 901").collect() if r.line_no == 1]
+
+
 def test_long_line(spark, samples):
     long = "word " * 200_000
     assert pages.wrapper_lines(docs(spark, [{"doc_id": 1, "url": "https://a.example/", "content": long}]), samples).count() <= 1
