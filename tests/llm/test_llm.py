@@ -130,6 +130,19 @@ def test_stuffed_sentences(spark, samples):
     assert not [r for r in pages.wrapper_lines(d, samples).filter("doc_id = 901").collect() if r.line_no == 1]
 
 
+def test_rotating_lines(spark, samples, monkeypatch):
+    """Lines a site shows on a tenth of its pages are wrapper, also where the corpus asks for more pages than it has."""
+    monkeypatch.setattr(pages, "WRAPPER_LEAST", 60)
+    rng = random.Random(4)
+    letters = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
+    sentence = lambda: "The " + " ".join(letters() for _ in range(14)) + " was seen."
+    notices = [f"Related notice: {letters()} {letters()}" for _ in range(10)]
+    rows = [{"doc_id": i, "url": f"https://one.example/{i}", "title": "A", "content": "\n".join([sentence(), notices[i * 7 % 10], sentence(), sentence()])} for i in range(50)]
+    copy = "\n".join(sentence() for _ in range(5))
+    rows += [{"doc_id": 100 + i, "url": f"https://two.example/{i}", "title": "B", "content": copy} for i in range(8)]
+    assert {tuple(r) for r in pages.wrapper_lines(docs(spark, rows), samples).collect()} == {(i, 2) for i in range(50)}
+
+
 def test_long_line(spark, samples):
     long = "word " * 200_000
     assert pages.wrapper_lines(docs(spark, [{"doc_id": 1, "url": "https://a.example/", "content": long}]), samples).count() <= 1
