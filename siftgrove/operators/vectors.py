@@ -50,14 +50,14 @@ def among_candidates(vectors: DataFrame, query: list[float], candidates: DataFra
 
 
 def hashing_embedder(dim: int = 64) -> Callable[[list[str]], list[list[float]]]:
-    """A deterministic stand-in for an embedding model: signed word hashes, unit length."""
+    """A deterministic stand-in for an embedding model: signed hashes of all words (the reference cuts at 512), unit length."""
     import xxhash
 
     def embed(texts: list[str]) -> list[list[float]]:
         out = []
         for t in texts:
             v = [0.0] * dim
-            for w in t.lower().split()[:512]:
+            for w in t.lower().split():
                 h = xxhash.xxh64_intdigest(w)
                 v[h % dim] += 1.0 if h >> 63 else -1.0
             n = sum(x * x for x in v) ** 0.5 or 1.0

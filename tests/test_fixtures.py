@@ -186,3 +186,11 @@ def test_streams(spark, tmp_path):
 
     ev = spark.createDataFrame([(1, datetime(2026, 1, 1, 0, m), "a", 1.0) for m in (0, 10, 50)], "user_id long, ts timestamp, event_type string, value double")
     assert sorted(r.events for r in events.sessions(ev, "30 minutes").collect()) == [1, 2]
+
+
+def test_embedding_of_whole_text():
+    from siftgrove.operators import vectors
+
+    head = "word " * 512
+    a, b = vectors.hashing_embedder()([head, head + "harbour " * 300])
+    assert a != b
