@@ -25,7 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..common import stored
-from .pages import analysed, site_of
+from .pages import analysed
+from .site_lines import site_name
 from .tokens import as_array
 
 SAMPLE_ROWS = 20_000
@@ -176,7 +177,7 @@ def page_scores(documents: DataFrame, lang_samples: DataFrame) -> tuple[DataFram
             )
             edge = pa.array(np.arange(0, (n + 1) * k, k), pa.int32())
             out = pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array([site_of(u) for u in urls]), b.column("label"), pa.array(address)]
+                [b.column("doc_id"), pa.array([site_name(u) for u in urls]), b.column("label"), pa.array(address)]
                 + [pa.ListArray.from_arrays(edge, pa.array(page.astype(np.float32).ravel())), pa.ListArray.from_arrays(edge, pa.array(chars.ravel())), lists],
                 names=["doc_id", "site", "label", "address", "evidence", "chars", "odd"],
             )

@@ -24,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p4_restored": on(charset.garbled_fields, "documents", "lang_samples"),
         "p5_found": on(pages.stuffed_pages, "documents", "lang_samples"),
         "p6_found": on(site_lines.repeated_lines, "documents"),
+        "p6_templates": on(site_lines.line_templates, "documents"),
         "p6_cleaned": on(site_lines.without_repeated_lines, "documents"),
         "p7_found": on(neighbours.neighbour_pairs, "doc_embeddings"),
         "p7_neighbours": on(neighbours.neighbours, "doc_embeddings"),
@@ -53,6 +54,13 @@ def oracle_sql() -> dict[str, str]:
     form = lookalike.form_sql("text")
     return {
         "p6_found": f"with {_LINES} select doc_id, cast(line_no as integer) as line_no from found",
+        "p6_templates": rf"""
+with {_LINES}, t as (select doc_id, line_no, site, string_split(line, ' ') as w from lines where line <> ''),
+leaf as (select site, w, len(w) as n, [case when contains(w[i], '#') then '<*>' else w[i] end for i in [1, 2, 3]] as head from t),
+kept as (select site, n, head, count(*) as n_lines from leaf group by all having count(*) >= 5),
+slots as (select site, n, head, n_lines, pos, case when min(w[pos]) = max(w[pos]) and not contains(min(w[pos]), '#') then min(w[pos]) else '<*>' end as token
+  from leaf join kept using (site, n), unnest(range(1, n + 1)) r(pos) where leaf.head is not distinct from kept.head group by all)
+select site, string_agg(token, ' ' order by pos) as template, any_value(n_lines) as n_lines from slots group by site, n, head""".replace("select site, n, head, n_lines, pos,", "select site, n, kept.head, n_lines, pos,"),
         "p6_cleaned": rf"""
 with {_LINES}, gone as (select doc_id, list(line_no) as gone from found group by doc_id)
 select d.doc_id, cast(coalesce(len(string_split(content, chr(10))), 0) as integer) as n_lines, cast(coalesce(len(gone), 0) as integer) as n_removed,

@@ -2,73 +2,91 @@
 
 Every line is normalised (runs of blanks and tabs as one blank, trimmed, lower case, each run of digits as ``#``) and
 sent down a tree of fixed depth: site, number of tokens, then the first ``DEPTH`` tokens, where a token that holds a
-digit slot takes the wildcard branch. A leaf is a template. The trees are built in every partition by map-side
-aggregation and merged by the aggregation's shuffle, so a site with a third of all rows is counted in all tasks.
-A template is kept if it covers ``min_docs`` documents; within kept templates the lines that reach ``min_docs``
-documents by themselves are the repeated lines (the exact check).
+digit slot takes the wildcard branch. A leaf is a template: tokens all its lines share, and wildcard slots elsewhere.
+The trees are built in every partition by map-side aggregation and merged by the aggregation's shuffle, so a site with
+a third of all rows is counted in all tasks.
+Only lines of templates that cover ``min_docs`` lines go on to the exact check, which counts the documents of each line;
+all other lines (most of an article's) are never shuffled. Lines are written once as 96-bit keys and read from there.
 
 Defined results: null content or url gives no line / the site ``''``; blank lines never count; a line repeated within
-one document counts once for that document; repeated input rows with one doc_id count as rows. Other columns of the
-input are ignored.
+one document, or in repeated rows of one doc_id, counts once for that document. Other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..common import stored
+
 DEPTH = 3
+NETLOC = re.compile(r"[a-z][a-z0-9+.-]*://([^/?#\\]*)")
 MIN_DOCS = 5
+#: Parts a hot line's rows are split into at the last join.
+SALTS = 16
 
 
-def site_of(url: Column) -> Column:
+def site_of(url: Column | str) -> Column:
     """Host of a url in lower case, without user, port and a leading ``www.``; ``''`` where there is none."""
-    netloc = F.regexp_extract(F.lower(F.trim(url)), r"^[a-z][a-z0-9+.-]*://([^/?#\\]*)", 1)
+    netloc = F.regexp_extract(F.lower(F.trim(url)), f"^{NETLOC.pattern}", 1)
     host = F.regexp_replace(F.regexp_replace(netloc, r"^.*@", ""), r":\d*$", "")
     return F.coalesce(F.regexp_replace(host, r"^www\.", ""), F.lit(""))
 
 
+def site_name(url: str | None) -> str:
+    """The same for a single address, in Arrow batches."""
+    m = NETLOC.match((url or "").strip(" ").lower())
+    return re.sub(r":\d*$", "", m[1].rpartition("@")[2]).removeprefix("www.") if m else ""
+
+
 def normal_line(line: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(F.regexp_replace(line, r"[ \t\r]+", " "))), "[0-9]+", "#")
 
 
-def _leaf(site: Column, line: Column) -> Column:
-    """Path of a line through the tree as a 64-bit number: site, token count, first tokens with wildcard slots."""
+def _path(line: Column) -> list[Column]:
+    """A line's way through the tree below its site: token count, first tokens with wildcard slots."""
     tokens = F.split(line, " ")
-    path = [F.when(F.get(tokens, F.lit(i)).contains("#"), F.lit("<*>")).otherwise(F.get(tokens, F.lit(i))) for i in range(DEPTH)]
-    return F.xxhash64(site, F.size(tokens), *path)
+    return [F.size(tokens), *(F.when(F.get(tokens, F.lit(i)).contains("#"), F.lit("<*>")).otherwise(F.get(tokens, F.lit(i))) for i in range(DEPTH))]
 
 
 def _lines(documents: DataFrame) -> DataFrame:
-    return documents.select(
+    """(doc_id, line_no, site, line, leaf) of the lines that aren't blank."""
+    parts = documents.select(
         "doc_id",
         site_of(F.col("url")).alias("site"),
         F.transform(F.split(F.coalesce("content", F.lit("")), "\n"), normal_line).alias("lines"),
     )
+    rows = parts.select("doc_id", "site", F.posexplode_outer("lines").alias("pos", "line")).filter("line <> ''")
+    return rows.select("doc_id", (F.col("pos") + 1).alias("line_no"), "site", "line", F.xxhash64("site", *_path(F.col("line"))).alias("leaf"))
 
 
-def line_counts(documents: DataFrame) -> DataFrame:
-    """(leaf, line_key, n_docs): documents per site and normalised line; lines as 64-bit numbers of site and text."""
-    once = _lines(documents).select("site", F.explode_outer(F.array_distinct("lines")).alias("line")).filter("line <> ''")
-    return (
-        once.select(_leaf(F.col("site"), F.col("line")).alias("leaf"), F.xxhash64("site", "line").alias("line_key"))
-        .groupBy("leaf", "line_key")
-        .agg(F.count(F.lit(1)).alias("n_docs"))
-    )
-
-
-def repeated_keys(documents: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """Line keys of templates covering ``min_docs`` documents whose own count reaches ``min_docs``."""
-    counts = line_counts(documents)
-    templates = counts.groupBy("leaf").agg(F.sum("n_docs").alias("covers")).filter(F.col("covers") >= min_docs).select("leaf")
-    return counts.filter(F.col("n_docs") >= min_docs).join(templates, "leaf", "left_semi").select("line_key")
+def _covering(lines: DataFrame, min_docs: int) -> DataFrame:
+    """Lines of the templates (leaves) that cover at least ``min_docs`` lines; fewer can't hold a repeated one."""
+    leaves = lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("covers")).filter(F.col("covers") >= min_docs).select("leaf")
+    salt = F.pmod(F.hash("doc_id"), F.lit(SALTS))
+    spread = leaves.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return lines.withColumn("salt", salt).join(spread, ["leaf", "salt"], "left_semi")
 
 
 def repeated_lines(documents: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(doc_id, line_no) of every line repeated in its site; the join is skew-split by AQE for lines in very many documents."""
-    numbered = _lines(documents).select("doc_id", "site", F.posexplode_outer("lines").alias("pos", "line")).filter("line <> ''")
-    keyed = numbered.select("doc_id", (F.col("pos") + 1).alias("line_no"), F.xxhash64("site", "line").alias("line_key"))
-    return keyed.join(repeated_keys(documents, min_docs), "line_key", "left_semi").select("doc_id", "line_no")
+    """(doc_id, line_no) of every line repeated in its site."""
+    keyed = stored(_lines(documents).select("doc_id", "line_no", "leaf", F.xxhash64("site", "line").alias("key"), F.hash("line", "site").alias("check")), "site-lines")
+    some = _covering(keyed, min_docs)
+    often = some.select("key", "check", "doc_id").distinct().groupBy("key", "check").agg(F.count(F.lit(1)).alias("n_docs")).filter(F.col("n_docs") >= min_docs)
+    spread = often.select("key", "check", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return keyed.withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(SALTS))).join(spread, ["key", "check", "salt"], "left_semi").select("doc_id", "line_no")
+
+
+def line_templates(documents: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """(site, template, n_lines): templates covering ``min_docs`` lines; tokens that differ among them are ``<*>``."""
+    some = _covering(_lines(documents), min_docs)
+    tokens = some.select("site", "leaf", F.posexplode(F.split("line", " ")).alias("pos", "token"))
+    slots = tokens.groupBy("site", "leaf", "pos").agg(F.min("token").alias("least"), F.max("token").alias("most"), F.count(F.lit(1)).alias("n"))
+    shown = F.when((F.col("least") == F.col("most")) & ~F.col("least").contains("#"), F.col("least")).otherwise(F.lit("<*>"))
+    merged = slots.groupBy("site", "leaf").agg(F.array_sort(F.collect_list(F.struct("pos", shown.alias("token")))).alias("t"), F.max("n").alias("n_lines"))
+    return merged.select("site", F.array_join(F.transform("t", lambda x: x["token"]), " ").alias("template"), "n_lines")
 
 
 def without_repeated_lines(documents: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:

@@ -254,6 +254,9 @@ def test_repeated_lines(spark):
     rows += [{"doc_id": 9, "url": "https://b.example/", "content": "page 1 of 2"}, {"doc_id": 10, "url": None, "content": None}]
     got = {tuple(r) for r in site_lines.repeated_lines(docs(spark, rows)).collect()}
     assert got == {(i, n) for i in range(5) for n in (1, 4)}
+    names = ["HTTP://u:p@WWW.A.example:80/x?y", " https://b.example", "https://x@y@c.example:/", "c.example/z", "", None, "ftp://www.www.d.example\\e"]
+    urls = spark.createDataFrame([(u,) for u in names], "url string").select(site_lines.site_of("url").alias("s")).collect()
+    assert [r.s for r in urls] == [site_lines.site_name(u) for u in names] == ["a.example", "b.example", "c.example", "", "", "", "www.d.example"]
     left = {r.doc_id: r.content for r in site_lines.without_repeated_lines(docs(spark, rows)).collect()}
     assert left[0] == "\nown line number a" and left[9] == "page 1 of 2" and left[10] is None
 
