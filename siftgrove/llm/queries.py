@@ -42,7 +42,7 @@ _SITE = r"""coalesce(regexp_replace(regexp_replace(regexp_replace(regexp_extract
 _LINES = rf"""
 lines as (
   select doc_id, site, i as line_no,
-    regexp_replace(lower(trim(regexp_replace(parts[i], '[ \t\r]+', ' ', 'g'))), '[0-9]+', '#', 'g') as line
+    regexp_replace(lower(replace(trim(regexp_replace(parts[i], '[ \t\r]+', ' ', 'g')), 'İ', 'i' || chr(775))), '[0-9]+', '#', 'g') as line
   from (select doc_id, {_SITE} as site, string_split(content, chr(10)) as parts from documents where content is not null), unnest(range(1, len(parts) + 1)) r(i)
 ),
 often as (select site, line from lines where line <> '' group by site, line having count(distinct doc_id) >= 5),
