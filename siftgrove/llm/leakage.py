@@ -1,13 +1,14 @@
 """Problem 8: passages of evaluation items inside training text.
 
-Seeds are word n-grams of the items: of every stretch of ``RUN`` consecutive words the n-gram rarest among the items
-is a seed, so any shared stretch of that length holds one. One pass over the documents looks the seeds up (word ids
-mixed to 64-bit numbers and compared in numpy, every hit checked word by word) and every (document, item) pair with a seed is
-scored by Smith-Waterman alignment of words, which also finds edited copies; ``leaked_items`` then keeps pairs with
-``RUN`` consecutive equal words, or the whole item if it is shorter.
+Seeds are word n-grams of the items: of every stretch of ``INTACT`` consecutive words the n-gram rarest among the items
+is a seed, so any copy that leaves so many words in a row unchanged holds one; an item shorter than an n-gram is its own
+seed. One pass over the documents looks the seeds up (word ids mixed to 64-bit numbers and compared in numpy) and every
+(document, item) pair with a seed is scored by Smith-Waterman alignment of words. A pair is a leak by its alignment: the
+score is worth at least ``EDITED`` of ``RUN`` equal words (of the whole item, if it is shorter), so edited and
+paraphrased copies are leaks too. ``leaked_items`` keeps of these the pairs with ``RUN`` consecutive equal words.
 
-The item side is sent to the executors in blocks of at most ``BLOCK_WORDS`` words (about 8 MB each), one pass per
-block, so its size stays bounded however many items there are.
+The item side is sent to the executors in blocks of at most ``BLOCK_WORDS`` words (about 8 MB each); each block is one
+pass over the documents, so time grows with the number of blocks (1 for the items here), memory doesn't.
 
 Defined results: null or empty texts and items give no rows; repeated items or documents with one id count once.
 """
@@ -21,11 +22,14 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .tokens import as_array, words
 
 RUN = 12
 GRAM = 6
+#: Words in a row a copy must have left unchanged to be looked at; least worth of its alignment in shares of ``RUN`` words.
+INTACT, EDITED = 8, 0.8
 BLOCK_WORDS = 200_000
 MATCH, MISMATCH, GAP = 2.0, -1.0, 1.0
 
@@ -33,61 +37,57 @@ MATCH, MISMATCH, GAP = 2.0, -1.0, 1.0
 class ItemIndex:
     """Seeds of a block of items."""
 
-    def __init__(self, items: list[tuple[int, list[str]]], run: int = RUN):
-        self.run = run
+    def __init__(self, items: list[tuple[int, list[str]]]):
         self.word_id = {w: i + 1 for i, w in enumerate(sorted({w for _, ws in items for w in ws}))}
         self.items = {item: np.array([self.word_id[w] for w in ws], dtype=np.int64) for item, ws in items if ws}
         seen: Counter[int] = Counter()
         grams: dict[int, np.ndarray] = {}
         for item, ids in self.items.items():
-            grams[item] = self.grams(ids)
+            grams[item] = mixed(ids, min(GRAM, len(ids)))
             seen.update(set(grams[item].tolist()))
-        self.seeds: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        self.short: dict[int, list[int]] = defaultdict(list)
+        #: size of the n-gram -> its number -> (item, place in the item)
+        self.seeds: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
         for item, ids in self.items.items():
-            if len(ids) < GRAM:  # too short for a seed: looked up by its first word
-                self.short[int(ids[0])].append(item)
-                continue
-            window = min(run, len(ids)) - GRAM + 1
+            window = max(1, min(INTACT, len(ids)) - GRAM + 1)
             rarity = [seen[g] for g in grams[item].tolist()]
             for at in sorted({min(range(i, i + window), key=lambda p: (rarity[p], p)) for i in range(len(rarity) - window + 1)}):
-                self.seeds[int(grams[item][at])].append((item, at))
-        self.keys = np.array(sorted(self.seeds), dtype=np.int64)
-
-    def grams(self, ids: np.ndarray) -> np.ndarray:
-        """A 64-bit number for each n-gram of a word sequence."""
-        if len(ids) < GRAM:
-            return np.zeros(0, dtype=np.int64)
-        wide = ids.astype(np.uint64)
-        out = np.zeros(len(ids) - GRAM + 1, dtype=np.uint64)
-        for k in range(GRAM):
-            out = out * np.uint64(0x9E3779B97F4A7C15) + wide[k : len(ids) - GRAM + 1 + k]
-        return out.view(np.int64)
+                self.seeds[min(GRAM, len(ids))][int(grams[item][at])].append((item, at))
+        self.seeds = {size: dict(places) for size, places in self.seeds.items()}
+        self.keys = {size: np.array(sorted(places), dtype=np.int64) for size, places in self.seeds.items()}
 
     def pairs(self, rows: np.ndarray, ids: np.ndarray) -> dict[tuple[int, int], list[tuple[int, int]]]:
         """(row, item) -> places (word in the batch, word in the item) where a seed is found."""
         found: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-        if len(ids) >= GRAM and len(self.keys):
-            known = (ids > 0).astype(np.int8)
-            full = known[: len(ids) - GRAM + 1].copy()
-            for k in range(1, GRAM):
-                full &= known[k : len(ids) - GRAM + 1 + k]
-            full &= (rows[: len(rows) - GRAM + 1] == rows[GRAM - 1 :]).astype(np.int8)
+        known = (ids > 0).astype(np.int8)
+        for size, keys in self.keys.items():
+            n = len(ids) - size + 1
+            if n < 1:
+                continue
+            full = (rows[:n] == rows[size - 1 :]).astype(np.int8)
+            for k in range(size):
+                full &= known[k : n + k]
             at = np.flatnonzero(full)
-            if len(at):
-                values = self.grams(ids)[at]
-                place = np.searchsorted(self.keys, values)
-                place[place == len(self.keys)] = 0
-                for i in at[self.keys[place] == values].tolist():
-                    for item, pos in self.seeds[int(self.grams(ids[i : i + GRAM])[0])]:
-                        found[int(rows[i]), item].append((i, pos))
-        for first, items in self.short.items():
-            for i in np.flatnonzero(ids == first).tolist():
-                for item in items:
-                    found[int(rows[i]), item].append((i, 0))
+            if not len(at):
+                continue
+            values = mixed(ids, size)[at]
+            place = np.searchsorted(keys, values)
+            place[place == len(keys)] = 0
+            hit = keys[place] == values
+            for i, value in zip(at[hit].tolist(), values[hit].tolist()):
+                for item, pos in self.seeds[size][value]:
+                    found[int(rows[i]), item].append((i, pos))
         return found
 
 
+def mixed(ids: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit number for each n-gram of a word sequence."""
+    wide = ids.astype(np.uint64)
+    out = np.zeros(max(0, len(ids) - size + 1), dtype=np.uint64)
+    for k in range(size if len(out) else 0):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + wide[k : len(ids) - size + 1 + k]
+    return out.view(np.int64)
+
+
 def longest_run(text: np.ndarray, item: np.ndarray, seeds: list[tuple[int, int]]) -> int:
     """Most consecutive words that text and item share at one of the seeds."""
     best, seen = 0, set()
@@ -137,16 +137,16 @@ def _blocks(items: DataFrame) -> Iterator[list[tuple[int, list[str]]]]:
 
 
 def leak_alignments(documents: DataFrame, items: DataFrame, run: int = RUN) -> DataFrame:
-    """(doc_id, item_id, longest_run, item_words, alignment): every pair that shares a seed.
+    """(doc_id, item_id, longest_run, item_words, alignment): every leak, exact or edited.
 
-    ``alignment`` is the Smith-Waterman score as a share of the perfect score; the aligned region reaches an item's
-    length to both sides of the seeds.
+    ``alignment`` is the Smith-Waterman score in equal words (a word changed, left out or put in costs a half); the aligned
+    region reaches an item's length to both sides of the seeds.
     """
     spark = documents.sparkSession
     schema = "doc_id bigint, item_id bigint, longest_run int, item_words int, alignment double"
 
     def pass_of(block: list[tuple[int, list[str]]]) -> DataFrame:
-        index = spark.sparkContext.broadcast(ItemIndex(block, run))
+        index = spark.sparkContext.broadcast(ItemIndex(block))
 
         def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             items = index.value
@@ -159,26 +159,31 @@ def leak_alignments(documents: DataFrame, items: DataFrame, run: int = RUN) -> D
                     text, target = ids[lo:hi], items.items[item]
                     places = [(i - lo, p) for i, p in seeds]
                     longest = longest_run(text, target, places)
-                    if longest:
-                        a = max(0, min(i for i, _ in places) - len(target))
-                        b = max(i for i, _ in places) + len(target)
-                        score = align(text[a:b], target) / (MATCH * len(target))
-                        out.append((docs[row], item, longest, len(target), round(score, 6)))
+                    if not longest:  # two n-grams of one number
+                        continue
+                    a = max(0, min(i for i, _ in places) - len(target))
+                    b = max(i for i, _ in places) + len(target)
+                    score = align(text[a:b], target) / MATCH
+                    if score >= EDITED * min(run, len(target)):
+                        out.append((docs[row], item, longest, len(target), score))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64()))], names=["doc_id", "item_id", "longest_run", "item_words", "alignment"])
 
         return documents.select("doc_id", "text").mapInArrow(look, schema)
 
     passes = [pass_of(block) for block in _blocks(items)]
-    return reduce(DataFrame.unionByName, passes).distinct() if passes else spark.createDataFrame([], schema)
+    if not passes:
+        return spark.createDataFrame([], schema)
+    best = reduce(DataFrame.unionByName, passes).groupBy("doc_id", "item_id").agg(F.max(F.struct("alignment", "longest_run", "item_words")).alias("m"))
+    return best.select("doc_id", "item_id", "m.longest_run", "m.item_words", "m.alignment")
 
 
 def leaked_items(documents: DataFrame, items: DataFrame, run: int = RUN) -> DataFrame:
-    """(doc_id, item_id) with ``run`` consecutive words of the item in the text, or the whole of a shorter item."""
-    hits = leak_alignments(documents, items, run)
-    return hits.filter(f"longest_run >= least({run}, item_words)").select("doc_id", "item_id").distinct()
+    """(doc_id, item_id): of all leaks those with ``run`` consecutive words of the item, or the whole of a shorter item."""
+    return leak_alignments(documents, items, run).filter(f"longest_run >= least({run}, item_words)").select("doc_id", "item_id")
 
 
 def leaked_documents(documents: DataFrame, items: DataFrame, run: int = RUN) -> DataFrame:
-    """(doc_id, n_items, best_alignment): one row for each document with a leaked item."""
-    hits = leak_alignments(documents, items, run).filter(f"longest_run >= least({run}, item_words)")
-    return hits.groupBy("doc_id").agg({"item_id": "count", "alignment": "max"}).withColumnsRenamed({"count(item_id)": "n_items", "max(alignment)": "best_alignment"})
+    """(doc_id, n_items, n_edited, best_alignment): documents with leaked items, how many in all and how many edited only."""
+    hits = leak_alignments(documents, items, run)
+    edited = F.col("longest_run") < F.least(F.lit(run), F.col("item_words"))
+    return hits.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_items"), F.count_if(edited).alias("n_edited"), F.max("alignment").alias("best_alignment"))

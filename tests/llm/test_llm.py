@@ -315,6 +315,32 @@ def test_leaks(spark):
     assert {tuple(r) for r in leakage.leaked_items(docs(spark, rows), frame).collect()} == want and want
 
 
+def test_edited_copies(spark):
+    """Copies with a tenth of their words changed, left out or put in are found by alignment; other texts aren't."""
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(2000)]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(14, 60)))) for i in range(60)]
+    rows, planted = [], set()
+    for d in range(300):
+        words = [rng.choice(vocabulary) for _ in range(120)]
+        item, text = rng.choice(items)
+        if d % 3:
+            copy = []
+            for w in text.split():
+                how = rng.random()
+                copy += [rng.choice(vocabulary)] if how < 0.04 else [] if how < 0.07 else [w, rng.choice(vocabulary)] if how < 0.1 else [w]
+            words[50:50] = copy
+            planted.add((d, item))
+        rows.append({"doc_id": d, "text": " ".join(words)})
+    frame = spark.createDataFrame(items, "item_id long, item_text string")
+    got = {(r.doc_id, r.item_id) for r in leakage.leak_alignments(docs(spark, rows), frame).collect()}
+    assert len(got & planted) >= 0.95 * len(planted) and len(got - planted) <= 0.02 * len(planted)
+    exact = {tuple(r) for r in leakage.leaked_items(docs(spark, rows), frame).collect()}
+    assert exact < got
+    by_doc = {r.doc_id: r for r in leakage.leaked_documents(docs(spark, rows), frame).collect()}
+    assert sum(r.n_edited for r in by_doc.values()) == len(got - exact)
+
+
 def test_alignment():
     a = np.array([1, 2, 3, 4, 5, 6, 7, 8])
     assert leakage.align(a, a) == 16 and leakage.align(a, np.array([9, 9])) == 0
