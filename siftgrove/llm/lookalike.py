@@ -1,8 +1,12 @@
 """Problem 10: one form for texts that look the same but differ in characters.
 
 DuckDB runs inside every Arrow partition. Embedded SQL drops invisible characters, brings all blanks to U+0020, maps
-full-width and presentation forms, composes accents (``nfc_normalize``) and maps look-alike letters of other scripts
-to Latin (``translate``). The number of blanks and line breaks is kept, and a visible accent, case or digit stays.
+compatibility forms (full and half width, presentation forms, ligatures, letters in mathematical fonts), composes
+accents (``nfc_normalize``) and maps look-alike letters of other scripts to Latin (``translate``). The number of blanks
+and line breaks is kept, and a visible accent, case or digit stays; so do raised, lowered and circled signs.
+
+``look_alike_classes`` has one row per document and grows with the documents only; ``look_alike_pairs`` writes out every
+pair, so its rows are quadratic in a class by their definition.
 
 Defined results: null text has a null form and is no partner of anything; an empty text has the empty form; repeated
 rows with the same doc_id are one document; other columns are ignored.
@@ -10,37 +14,60 @@ rows with the same doc_id are one document; other columns are ignored.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..common import stored
+
 # Letters of other scripts and the Latin letters (or signs) they look like.
 LOOK_FROM = "аеорсухѕіјһԁԛԝҮүӏАВЕКМНОРСТУХЅІЈԚԜѴёЁїЇѐЀӓӒӧӦονϲϳΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿɡ‐‑ʼ"
 LOOK_TO = "aeopcyxsijhdqwYylABEKMHOPCTYXSIJQWVëËïÏèÈäÄöÖovcjABEZHIKMNOPTYXCJg--’"
-# Ligatures and digraph signs, and what they show.
-LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "ĳ": "ij", "Ĳ": "IJ", "ǉ": "lj", "ǌ": "nj"}
+# Kinds of compatibility forms (names of the Unicode character database) that show what they stand for.
+SAME_SHAPE = ("<wide>", "<narrow>", "<font>", "<initial>", "<medial>", "<final>", "<isolated>", "<noBreak>", "<compat>")
 # Characters without width, and blanks other than U+0020, as RE2 classes.
 INVISIBLE = r"[\x{00AD}\x{034F}\x{061C}\x{180B}-\x{180E}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{2066}-\x{206F}\x{FE00}-\x{FE0F}\x{FEFF}]"
 BLANKS = r"[\x{00A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]"
 BREAKS = r"\r\n|[\r\x{0085}\x{2028}\x{2029}]"
 
 
+def compatibility_forms() -> tuple[dict[str, str], dict[str, str]]:
+    """(single characters, longer replacements) of the compatibility forms of letters, digits and signs, by rule."""
+    single, longer = {}, {}
+    for code in chain(range(0x80, 0x2600), range(0x3131, 0x3190), range(0xFB00, 0x10000), range(0x1D400, 0x1EF00)):
+        kind, _, parts = unicodedata.decomposition(chr(code)).partition(" ")
+        if kind not in SAME_SHAPE:
+            continue
+        shown = unicodedata.normalize("NFKC", chr(code))
+        # spacing accents and blanks aren't letters in another shape, abbreviation signs and letter variants neither
+        if any(unicodedata.category(c)[0] in ("ZC" if kind == "<narrow>" else "ZMC") for c in shown) or chr(code) in LOOK_FROM or unicodedata.category(chr(code)) == "So":
+            continue
+        if kind == "<compat>" and (not shown.isalpha() or len(shown) == 1 and chr(code) != "µ"):
+            continue
+        (single if len(shown) == 1 else longer)[chr(code)] = shown
+    return single, longer
+
+
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
 def form_sql(column: str) -> str:
     """The DuckDB expression of the common form of ``column``."""
-    wide = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
-    plain = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F))
+    single, longer = compatibility_forms()
     expr = f"regexp_replace({column}, {_quoted(INVISIBLE)}, '', 'g')"
     expr = f"regexp_replace({expr}, {_quoted(BREAKS)}, chr(10), 'g')"
     expr = f"regexp_replace({expr}, {_quoted(BLANKS)}, ' ', 'g')"
-    expr = f"translate({expr}, {_quoted(wide)}, {_quoted(plain)})"
-    for sign, shown in LIGATURES.items():
-        expr = f"replace({expr}, {_quoted(sign)}, {_quoted(shown)})"
+    expr = f"translate({expr}, {_quoted(''.join(single))}, {_quoted(''.join(single.values()))})"
+    written = expr
+    for sign, shown in longer.items():
+        written = f"replace({written}, {_quoted(sign)}, {_quoted(shown)})"
+    # most texts hold no ligature, and skip the longer replacements
+    expr = f"case when regexp_matches({expr}, {_quoted('[' + ''.join(longer) + ']')}) then {written} else {expr} end"
     expr = f"translate(nfc_normalize({expr}), {_quoted(LOOK_FROM)}, {_quoted(LOOK_TO)})"
     return f"nfc_normalize({expr})"
 
@@ -68,9 +95,29 @@ def common_form(documents: DataFrame) -> DataFrame:
 
 
 def form_keys(documents: DataFrame) -> DataFrame:
-    """(doc_id, text_key, form_key): 128-bit keys of the text as it is and of its common form; null texts left out."""
-    sql = f"select doc_id, md5(text) as text_key, md5({form_sql('text')}) as form_key from part where text is not null"
-    return documents.select("doc_id", "text").mapInArrow(_run(sql), "doc_id bigint, text_key string, form_key string")
+    """(doc_id, text_key, form_key): 16-byte keys of the text as it is and of its common form; null texts left out."""
+    sql = f"select doc_id, unhex(md5(text)) as text_key, unhex(md5({form_sql('text')})) as form_key from part where text is not null"
+    return documents.select("doc_id", "text").mapInArrow(_run(sql), "doc_id bigint, text_key binary, form_key binary")
+
+
+def _spelled(keys: DataFrame) -> DataFrame:
+    """(form_key, spellings, docs, class_id) of the forms written in several ways; counted before the shuffle."""
+    per = keys.groupBy("form_key", "text_key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))
+    return per.groupBy("form_key").agg(F.count(F.lit(1)).alias("spellings"), F.sum("n").alias("docs"), F.min("first").alias("class_id")).filter("spellings > 1")
+
+
+def look_alike_classes(documents: DataFrame) -> DataFrame:
+    """(doc_id, class_id, links): documents with a look-alike, the least id of their class, and how many look like them
+    but differ in characters; exact copies are in one class and no link."""
+    keys = stored(form_keys(documents), "form-keys").distinct()
+    same = keys.groupBy("form_key", "text_key").agg(F.count(F.lit(1)).alias("copies"))
+    spelled = same.join(_spelled(keys), "form_key")
+    counted = keys.join(spelled, ["form_key", "text_key"])
+    return counted.select("doc_id", "class_id", (F.col("docs") - F.col("copies")).alias("links"))
+
+
+#: Parts the documents of a class are split into where pairs are written out.
+SALTS = 16
 
 
 def look_alike_pairs(documents: DataFrame) -> DataFrame:
@@ -78,10 +125,8 @@ def look_alike_pairs(documents: DataFrame) -> DataFrame:
 
     Only forms that occur in several spellings reach the join; exact copies alone never do.
     """
-    keys = form_keys(documents).distinct()
-    spelled = keys.groupBy("form_key", "text_key").agg(F.count(F.lit(1)).alias("n"))
-    mixed = spelled.groupBy("form_key").agg(F.count(F.lit(1)).alias("spellings")).filter("spellings > 1").select("form_key")
-    some = keys.join(mixed, "form_key", "left_semi")
-    a = some.select("form_key", F.col("doc_id").alias("doc_a"), F.col("text_key").alias("key_a"))
-    b = some.select("form_key", F.col("doc_id").alias("doc_b"), F.col("text_key").alias("key_b"))
-    return a.join(b, "form_key").filter("doc_a < doc_b and key_a <> key_b").select("doc_a", "doc_b")
+    keys = stored(form_keys(documents), "form-keys").distinct()
+    some = keys.join(_spelled(keys).select("form_key"), "form_key", "left_semi")
+    a = some.select("form_key", F.pmod(F.hash("doc_id"), F.lit(SALTS)).alias("salt"), F.col("doc_id").alias("doc_a"), F.col("text_key").alias("key_a"))
+    b = some.select("form_key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.col("doc_id").alias("doc_b"), F.col("text_key").alias("key_b"))
+    return a.join(b, ["form_key", "salt"]).filter("doc_a < doc_b and key_a <> key_b").select("doc_a", "doc_b")

@@ -34,6 +34,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p9_mixture": on(mixing.mixture, "documents", "mix_targets"),
         "p9_shares": on(mixing.mixture_shares, "documents", "mix_targets"),
         "p10_found": on(lookalike.look_alike_pairs, "documents"),
+        "p10_classes": on(lookalike.look_alike_classes, "documents"),
         "p10_forms": on(lookalike.common_form, "documents"),
     }
 
@@ -50,8 +51,26 @@ found as (select doc_id, line_no from lines join often using (site, line))
 """
 
 
+def _form_by_character() -> str:
+    """The common form character by character: code ranges and a map instead of the operator's patterns and replacements."""
+    single, longer = lookalike.compatibility_forms()
+    shown, quoted = single | longer, lambda t: "'" + t.replace("'", "''") + "'"
+    pairs = ", ".join(f"{ord(k)}: {quoted(v)}" for k, v in shown.items())
+    looks = ", ".join(f"{quoted(a)}: {quoted(b)}" for a, b in zip(lookalike.LOOK_FROM, lookalike.LOOK_TO))
+    gone = "u in (173, 847, 1564, 65279) or u between 6155 and 6158 or u between 8203 and 8207 or u between 8234 and 8238 or u between 8288 and 8292 or u between 8294 and 8303 or u between 65024 and 65039"
+    blank = "u in (160, 5760, 8239, 8287, 12288) or u between 8192 and 8202"
+    one = f"case when {gone} then '' when u in (13, 133, 8232, 8233) then chr(10) when {blank} then ' ' else coalesce((select m[u] from shapes), chr(u)) end"
+    return f"""shapes as materialized (select map {{{pairs}}} as m),
+looks as materialized (select map {{{looks}}} as m),
+chars as (select doc_id, text, pos, unicode(c) as u from (select distinct doc_id, text, string_split(replace(text, chr(13) || chr(10), chr(10)), '') as cs from documents where text <> ''), unnest(cs) with ordinality t(c, pos)),
+composed as (select doc_id, text, nfc_normalize(string_agg({one}, '' order by pos)) as t from chars group by doc_id, text),
+again as (select doc_id, text, pos, c from composed, unnest(string_split(t, '')) with ordinality x(c, pos)),
+forms as (select doc_id, text, nfc_normalize(string_agg(coalesce((select m[c] from looks), c), '' order by pos)) as form from again group by doc_id, text
+  union all select distinct doc_id, text, '' from documents where text = '')"""
+
+
 def oracle_sql() -> dict[str, str]:
-    form = lookalike.form_sql("text")
+    forms = _form_by_character()
     return {
         "p6_found": f"with {_LINES} select doc_id, cast(line_no as integer) as line_no from found",
         "p6_templates": rf"""
@@ -79,8 +98,8 @@ size as (select distinct least(len(w), 12) as n from i where len(w) > 0),
 runs as (select distinct item_id, n, array_to_string(w[k:k + n - 1], ' ') as run from i join size on n = least(len(w), 12), unnest(range(1, len(w) - n + 2)) r(k)),
 shown as (select distinct doc_id, n, array_to_string(w[k:k + n - 1], ' ') as run from t cross join size, unnest(range(1, len(w) - n + 2)) r(k))
 select distinct doc_id, item_id from shown join runs using (n, run)""",
-        "p10_found": f"""
-with f as (select distinct doc_id, text, {form} as form from documents where text is not null)
-select a.doc_id as doc_a, b.doc_id as doc_b from f a join f b on a.form = b.form and a.doc_id < b.doc_id and a.text <> b.text""",
-        "p10_forms": f"select doc_id, {form} as form from documents",
+        "p10_found": f"with {forms} select a.doc_id as doc_a, b.doc_id as doc_b from forms a join forms b on a.form = b.form and a.doc_id < b.doc_id and a.text <> b.text",
+        "p10_classes": f"""with {forms}, c as (select doc_id, text, min(doc_id) over (partition by form) as class_id, count(*) over (partition by form) - count(*) over (partition by form, text) as links from forms)
+select doc_id, class_id, links from c where links > 0""",
+        "p10_forms": f"with {forms} select d.doc_id, f.form from documents d left join forms f on d.doc_id = f.doc_id and d.text = f.text",
     }
