@@ -392,7 +392,7 @@ def test_compatibility_forms_and_classes(spark):
     same = ["ｶﾞ", "ガ", "ガ"], ["𝐀bc𝟑", "Abc3", "Ａｂｃ３"], ["ﻻ", "لا"], ["K‑2", "K-2"]
     apart = ["x²", "x2", "①", "1", "№", "No", "ſ", "s"]
     rows = [{"doc_id": 100 * i + j, "text": t} for i, texts in enumerate(same) for j, t in enumerate(texts)] + [{"doc_id": 900 + i, "text": t} for i, t in enumerate(apart)]
-    rows += [{"doc_id": 2000 + i, "text": "hot text" if i % 2 else "hot text"} for i in range(400)]
+    rows += [{"doc_id": 2000 + i, "text": "hot text" if i % 2 else "hot\u00a0text"} for i in range(400)]
     got = {r.doc_id: (r.class_id, r.links) for r in lookalike.look_alike_classes(docs(spark, rows)).collect()}
     assert {d: c for d, (c, _) in got.items() if d < 2000} == {100 * i + j: 100 * i for i, texts in enumerate(same) for j in range(len(texts))}
     assert {d: x for d, x in got.items() if d >= 2000} == {2000 + i: (2000, 200) for i in range(400)}
