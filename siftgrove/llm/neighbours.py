@@ -1,9 +1,13 @@
 """Problem 7: the k most similar vectors of every vector (inverted file, product-quantised residuals, exact rerank).
 
 Fit, on a bounded sample (``SAMPLE`` vectors, lowest seeded hashes): coarse centroids by spherical k-means, then one
-codebook of 256 words for each of ``PARTS`` parts of the residuals. Index, over all vectors: list, code and unit
-vector. Search: every vector visits the ``PROBES`` lists with the nearest centroids; there, asymmetric distance tables
-score all codes, the best ``SHORT`` are scored again with the exact cosine, and the best k of all lists remain.
+codebook of 256 words for each of ``PARTS`` parts of the residuals. Where more than ``COARSE`` lists are wanted, each
+coarse cell is divided again by centroids fitted in its own task on at most ``SAMPLE`` of its vectors, so neither the
+driver nor a task holds more than a sample. Index, over all vectors: list, code and unit vector.
+Search: every vector visits the lists with the nearest centroids; there, asymmetric distance tables score all codes, the
+best ``SHORT`` are scored again with the exact cosine, and the best k of all lists remain. How many lists are visited is
+measured: for ``TRIED`` vectors the exact neighbours among all are found in one pass, and the least number of lists that
+holds ``RECALL`` of them is taken, at any size of the input.
 
 Equal vectors are one entry of the index: an entry keeps its k+1 smallest ids, and neighbours are spread to all
 members afterwards, so a third of all rows being copies costs no quadratic work. Large lists are split into blocks
@@ -19,6 +23,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,7 +35,11 @@ K = 10
 SAMPLE = 20_000
 PARTS = 16
 WORDS = 256
-PROBES = 10
+#: Vectors whose exact neighbours tell how many lists and candidates are needed, and the share of neighbours these must hold.
+TRIED, RECALL = 256, 0.998
+#: Lists of the first level; products of vectors and centroids held at once.
+COARSE, PRODUCTS = 1024, 1 << 22
+#: Least number of candidates of a list that are scored exactly.
 SHORT = 48
 BLOCK = 4096
 
@@ -46,10 +55,24 @@ def usable(vectors: DataFrame, dim: int = DIM) -> DataFrame:
     return vectors.select("doc_id", F.col("vector").cast("array<float>").alias("vector")).filter(F.col("doc_id").isNotNull() & (F.size("vector") == dim) & fine)
 
 
+def _nearest(x: np.ndarray, centres: np.ndarray, many: int = 1, less: np.ndarray | float = 0.0) -> np.ndarray:
+    """Places of the ``many`` centres with the highest products, nearest first, in blocks of bounded size."""
+    step = max(1, PRODUCTS // max(1, len(centres)))
+    out = np.empty((len(x), min(many, len(centres))), np.int64)
+    for lo in range(0, len(x), step):
+        score = x[lo : lo + step] @ centres.T - less
+        if out.shape[1] == 1:
+            out[lo : lo + step, 0] = score.argmax(1)
+            continue
+        top = np.argpartition(score, score.shape[1] - out.shape[1], axis=1)[:, -out.shape[1] :]
+        out[lo : lo + step] = np.take_along_axis(top, np.argsort(-np.take_along_axis(score, top, 1), axis=1, kind="stable"), 1)
+    return out
+
+
 def _kmeans(x: np.ndarray, k: int, rounds: int, spherical: bool, rng: np.random.Generator) -> np.ndarray:
     centres = x[rng.choice(len(x), size=k, replace=len(x) < k)].copy()
     for _ in range(rounds):
-        near = np.argmax(x @ centres.T - (0 if spherical else 0.5 * (centres**2).sum(1)), axis=1)
+        near = _nearest(x, centres, 1, 0.0 if spherical else 0.5 * (centres**2).sum(1))[:, 0]
         order = np.argsort(near, kind="stable")
         starts = np.searchsorted(near[order], np.arange(k))
         counts = np.bincount(near, minlength=k)
@@ -67,19 +90,18 @@ class Quantiser:
     """Coarse centroids and residual codebooks; a few MB at most (65536 lists of 64 floats are 16 MB)."""
 
     def __init__(self, sample: np.ndarray, lists: int, parts: int = PARTS, seed: int = 7):
-        rng = np.random.default_rng(seed)
-        x = unit(sample)
-        self.centres = _kmeans(x, lists, 12, True, rng)
-        rest = x - self.centres[self.nearest(x, 1)[:, 0]]
-        width = x.shape[1] // parts
-        self.books = np.stack([_kmeans(np.ascontiguousarray(rest[:, p * width : (p + 1) * width]), WORDS, 8, False, rng) for p in range(parts)])
+        self.rng = np.random.default_rng(seed)
+        self.sample, self.parts = unit(sample), parts
+        self.centres = _kmeans(self.sample, lists, 12, True, self.rng)
+
+    def fit_books(self) -> None:
+        rest = self.sample - self.centres[self.nearest(self.sample, 1)[:, 0]]
+        width = rest.shape[1] // self.parts
+        self.books = np.stack([_kmeans(np.ascontiguousarray(rest[:, p * width : (p + 1) * width]), WORDS, 8, False, self.rng) for p in range(self.parts)])
+        del self.sample
 
     def nearest(self, x: np.ndarray, probes: int) -> np.ndarray:
-        score = x @ self.centres.T
-        probes = min(probes, score.shape[1])
-        if probes == 1:
-            return np.argmax(score, axis=1)[:, None]
-        return np.argpartition(-score, probes - 1, axis=1)[:, :probes]
+        return _nearest(x, self.centres, probes)
 
     def encode(self, x: np.ndarray, lists: np.ndarray) -> np.ndarray:
         rest = x - self.centres[lists]
@@ -90,6 +112,15 @@ class Quantiser:
             codes[:, p] = np.argmax(piece @ self.books[p].T - 0.5 * (self.books[p] ** 2).sum(1), axis=1)
         return codes
 
+    def shown(self, batch: pa.RecordBatch) -> np.ndarray:
+        """Vectors as centroid and code tell them."""
+        parts, _, width = self.books.shape
+        codes = _from_binary(batch.column("code").to_pylist(), np.uint8, parts)
+        out = self.centres[np.asarray(batch.column("list"))].copy() if len(codes) else np.zeros((0, parts * width), np.float32)
+        for p in range(parts):
+            out[:, p * width : (p + 1) * width] += self.books[p][codes[:, p]]
+        return out
+
     def scores(self, queries: np.ndarray, which: int, codes: np.ndarray) -> np.ndarray:
         """Approximate dot products of unit queries with the entries of one list, by tables of each query and part."""
         parts, _, width = self.books.shape
@@ -126,7 +157,78 @@ def _entries(fine: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     return keyed, entries
 
 
-def neighbours(vectors: DataFrame, k: int = K, probes: int = PROBES, short: int = SHORT, dim: int = DIM) -> DataFrame:
+def _divided(entries: DataFrame, coarse: Quantiser, lists: int, dim: int) -> np.ndarray:
+    """Centroids of the second level: every coarse cell is divided in its own task, on a bounded sample of its vectors."""
+    model = entries.sparkSession.sparkContext.broadcast(coarse)
+    each = -(-lists // len(coarse.centres))
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                near = model.value.nearest(unit(_matrix(b.column("vector"), dim)), 1)[:, 0]
+                yield pa.RecordBatch.from_arrays([b.column("entry"), pa.array(near, pa.int32()), b.column("vector")], names=["entry", "cell", "vector"])
+
+    cells = entries.select("entry", "vector").mapInArrow(assign, "entry bigint, cell int, vector array<float>")
+    first = Window.partitionBy("cell").orderBy(F.xxhash64(F.lit(7), "entry"))
+    some = cells.withColumn("at", F.row_number().over(first)).filter(F.col("at") <= min(SAMPLE, 64 * each))
+
+    def divide(part: pd.DataFrame) -> pd.DataFrame:
+        x = unit(np.stack(part["vector"].to_numpy()))
+        centres = _kmeans(x, min(each, len(x)), 8, True, np.random.default_rng(int(part["cell"].iloc[0])))
+        return pd.DataFrame({"centre": list(centres)})
+
+    found = some.groupBy("cell").applyInPandas(divide, "centre array<float>").toArrow()  # at most ``lists`` rows
+    return np.stack(found.column("centre").to_numpy()).astype(np.float32)
+
+
+def measured(indexed: DataFrame, model, k: int, dim: int) -> tuple[int, int]:
+    """(probes, short): least number of lists, and least number of candidates of a list, that hold ``RECALL`` of the exact
+    k neighbours of ``TRIED`` entries. Two passes over all entries: the neighbours, then their places by table score."""
+    tried = indexed.select("entry", "unit", F.xxhash64(F.lit(11), "entry").alias("h")).orderBy("h").limit(TRIED).collect()
+    asked = np.array([r.entry for r in tried], np.int64)
+    context = indexed.sparkSession.sparkContext
+    query = context.broadcast((asked, _from_binary([r.unit for r in tried], np.float32, dim)))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q = query.value
+        for b in batches:
+            if not b.num_rows:
+                continue
+            score = q @ _from_binary(b.column("unit").to_pylist(), np.float32, dim).T
+            score[ids[:, None] == np.asarray(b.column("entry"))] = -9
+            keep = min(k, b.num_rows)
+            top = np.argpartition(score, b.num_rows - keep, axis=1)[:, -keep:]
+            rough = np.take_along_axis(q @ model.value.shown(b).T, top, 1)
+            lists, cos = np.asarray(b.column("list"))[top], np.take_along_axis(score, top, 1)
+            yield pa.RecordBatch.from_arrays([pa.array(x.ravel()) for x in (np.repeat(np.arange(len(ids), dtype=np.int32), keep), lists.astype(np.int32), cos, rough)], names=["q", "list", "cos", "rough"])
+
+    best = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("cos")))
+    rows = indexed.select("entry", "list", "code", "unit").mapInArrow(scan, "q int, list int, cos float, rough float").withColumn("at", best).filter((F.col("at") <= k) & (F.col("cos") > -2)).toArrow()
+    if not rows.num_rows:
+        return 1, SHORT
+    which, lists, rough = (np.asarray(rows.column(c)) for c in ("q", "list", "rough"))
+    order = model.value.nearest(query.value[1], len(model.value.centres))
+    rank = np.empty_like(order)
+    np.put_along_axis(rank, order, np.arange(order.shape[1])[None, :], 1)
+    near = context.broadcast((which, lists, rough))
+
+    def ahead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, (who, where, at) = query.value[1], near.value
+        count = np.zeros(len(who), np.int64)
+        for b in batches:
+            own = np.asarray(b.column("list"))
+            shown = model.value.shown(b)
+            for l in np.intersect1d(own, where).tolist():
+                some = np.flatnonzero(where == l)
+                count[some] += (q[who[some]] @ shown[own == l].T > at[some, None]).sum(1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(count), dtype=np.int32)), pa.array(count)], names=["i", "n"])
+
+    places = indexed.select("list", "code").mapInArrow(ahead, "i int, n bigint").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
+    holds = lambda ranks: int(np.sort(ranks)[int(np.ceil(RECALL * len(ranks))) - 1]) + 1
+    return holds(rank[which, lists]), max(SHORT, holds(np.asarray(places.column("n"))))
+
+
+def neighbours(vectors: DataFrame, k: int = K, probes: int | None = None, short: int | None = None, dim: int = DIM, lists: int | None = None) -> DataFrame:
     """(doc_id, neighbour, cosine): up to k rows for each usable vector."""
     spark = vectors.sparkSession
     keyed, entries = _entries(usable(vectors, dim), k)
@@ -135,8 +237,13 @@ def neighbours(vectors: DataFrame, k: int = K, probes: int = PROBES, short: int
     sample = np.array([r.vector for r in entries.select("vector", F.xxhash64(F.lit(7), "entry").alias("h")).orderBy("h").limit(SAMPLE).collect()], dtype=np.float32).reshape(-1, dim)
     if not n:
         return spark.createDataFrame([], "doc_id bigint, neighbour bigint, cosine double")
-    lists = n_lists(n)
-    model = spark.sparkContext.broadcast(Quantiser(sample, lists))
+    wanted = lists or n_lists(n)
+    quantiser = Quantiser(sample, min(wanted, COARSE))
+    if wanted > COARSE:
+        quantiser.centres = _divided(entries, quantiser, wanted, dim)
+    lists = len(quantiser.centres)
+    quantiser.fit_books()
+    model = spark.sparkContext.broadcast(quantiser)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = model.value
@@ -147,7 +254,15 @@ def neighbours(vectors: DataFrame, k: int = K, probes: int = PROBES, short: int
 
     indexed = stored(entries.select("entry", "vector").mapInArrow(index, "entry bigint, list int, code binary, unit binary"), "ivf-index")
     sizes = {r["list"]: r["count"] for r in indexed.groupBy("list").count().collect()}  # one row per list
-    blocks = spark.sparkContext.broadcast(np.array([-(-sizes.get(i, 0) // BLOCK) for i in range(lists)], dtype=np.int32))
+    blocks = spark.sparkContext.broadcast(np.array([max(1, -(-sizes.get(i, 0) // BLOCK)) for i in range(lists)], dtype=np.int32))
+    if not probes or not short:
+        probes, short = measured(indexed, model, k, dim)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            which = np.asarray(b.column("list"))
+            block = (np.asarray(b.column("entry")).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % blocks.value[which] if len(which) else which
+            yield pa.RecordBatch.from_arrays([b.column("entry"), b.column("list"), pa.array(block, pa.int32()), b.column("code"), b.column("unit")], names=["entry", "list", "block", "code", "unit"])
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q, n_blocks = model.value, blocks.value
@@ -163,15 +278,9 @@ def neighbours(vectors: DataFrame, k: int = K, probes: int = PROBES, short: int
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays([b.column("entry").take(take), pa.array(which, pa.int32()), pa.array(block, pa.int32()), pa.nulls(len(row), pa.binary()), b.column("unit").take(take)], names=["entry", "list", "block", "code", "unit"])
 
-    split = F.element_at(F.lit([int(x) for x in np.maximum(blocks.value, 1)]), F.col("list") + 1) if lists <= 4096 else F.lit(None)
-    if lists <= 4096:
-        block = F.pmod(F.xxhash64("entry"), split).cast("int")
-    else:
-        counts = indexed.groupBy("list").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / BLOCK)).cast("int").alias("blocks"))
-        indexed = indexed.join(counts, "list")
-        block = F.pmod(F.xxhash64("entry"), F.col("blocks")).cast("int")
-    base = indexed.select("entry", "list", block.alias("block"), "code", "unit", F.lit(0).alias("query"))
-    asked = indexed.select("entry", "unit").mapInArrow(visit, "entry bigint, list int, block int, code binary, unit binary").withColumn("query", F.lit(1))
+    parts = "entry bigint, list int, block int, code binary, unit binary"
+    base = indexed.select("entry", "list", "code", "unit").mapInArrow(place, parts).withColumn("query", F.lit(0))
+    asked = indexed.select("entry", "unit").mapInArrow(visit, parts).withColumn("query", F.lit(1))
     grouped = base.unionByName(asked).repartition("list", "block").sortWithinPartitions("list", "block", "query")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

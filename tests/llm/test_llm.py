@@ -264,14 +264,17 @@ def test_repeated_lines(spark):
 # problem 7
 
 
-def test_neighbours_recall_and_copies(spark):
+@pytest.mark.parametrize("lists", [None, 64])
+def test_neighbours_recall_and_copies(spark, monkeypatch, lists):
+    """One level of lists, and coarse cells divided again."""
+    monkeypatch.setattr(neighbours, "COARSE", 8 if lists else 1024)
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(20, 64))
     x = (centres[rng.integers(0, 20, 3000)] + 0.7 * rng.normal(size=(3000, 64))).astype(np.float32)
     x[2000:2100] = x[0]  # a hundred copies
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(5000, None), (5001, [0.0] * 64), (5002, [1.0] * 3), (5003, [None] + [1.0] * 63), (5004, [float("nan")] * 64), (7, x[7].tolist())]
     got = defaultdict(set)
-    for r in neighbours.neighbours(spark.createDataFrame(rows, "doc_id long, vector array<float>")).collect():
+    for r in neighbours.neighbours(spark.createDataFrame(rows, "doc_id long, vector array<float>"), lists=lists).collect():
         got[r.doc_id].add(r.neighbour)
     assert set(got) == set(range(3000)) and all(len(v) == 10 and k not in v for k, v in got.items())
     u = neighbours.unit(x)
