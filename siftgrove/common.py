@@ -29,13 +29,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only where that setting is missing (local tests) a temporary folder is made and set.
+    Only where that setting is missing in local mode (tests) a temporary folder is made and set; a cluster must name one.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="siftgrove-")
         spark.sparkContext.setCheckpointDir(folder)
         folder = spark.sparkContext._jsc.sc().getCheckpointDir().get()
@@ -55,6 +57,12 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Removes the files of a stored table that nothing will read again."""
+    for file in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        _remove(df.sparkSession, file)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm, context = spark._jvm, spark.sparkContext._jsc

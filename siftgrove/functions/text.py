@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,6 +42,14 @@ def tokens(c: Column) -> Column:
     return without_stopwords(tokens_all(c))
 
 
+def tokens_of(query: str | None) -> list[str]:
+    """``tokens`` of a query in the caller's memory, without a job."""
+    low = (query or "").lower()
+    for a, b in FOLDS.items():
+        low = low.replace(a, b)
+    return [t for t in re.findall(TOKEN, low) if t not in STOPWORDS]
+
+
 def clean_space(c: Column) -> Column:
     """Trimmed, every run of Unicode white space as one blank."""
     return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " "))

@@ -48,9 +48,11 @@ def next_due(documents: DataFrame, as_of: datetime) -> DataFrame:
     return documents.filter(F.col("next_crawl_at") > F.lit(as_of)).agg(F.min("next_crawl_at").alias("next_due"))
 
 
-def to_retry(hosts: DataFrame, as_of: datetime) -> DataFrame:
+def to_retry(hosts: DataFrame, as_of: datetime, limit: int | None = None) -> DataFrame:
+    """(host, status, failure_count, since): hosts to try again, the longest waiting first where a limit is given."""
     rows = hosts.filter(F.col("status").isin("failed", "blocked") & (F.col("retry_after").isNull() | (F.col("retry_after") <= F.lit(as_of))))
-    return rows.select("host", "status", "failure_count", F.coalesce("retry_after", "first_seen").alias("since"))
+    out = rows.select("host", "status", "failure_count", F.coalesce("retry_after", "first_seen").alias("since"))
+    return out.orderBy(F.asc_nulls_first("since"), "host").limit(limit) if limit else out
 
 
 def robots_allowed(paths: DataFrame, rules: DataFrame, strict: bool = False) -> DataFrame:
@@ -76,9 +78,13 @@ def admission(links: DataFrame, hosts: DataFrame, quota: int) -> DataFrame:
     j = l.join(known, "target", "left")
     inside = F.col("good") & (F.col("target") == F.col("origin"))
     new = F.col("good") & ~inside & F.col("settled").isNull()
-    nth = F.sum(new.cast("int")).over(Window.partitionBy("origin", new).orderBy("target", "url").rowsBetween(Window.unboundedPreceding, 0))
-    verdict = F.when(~F.col("good"), "skip").when(inside, "queue").when(F.col("settled"), "known").when(F.lit(quota < 0) | (nth <= quota), "discover").otherwise("over quota")
-    return j.select("origin", "url", verdict.alias("verdict"))
+    marked = j.select("origin", "url", "target", F.when(~F.col("good"), "skip").when(inside, "queue").when(F.col("settled"), "known").otherwise("over quota" if quota >= 0 else "discover").alias("verdict"), new.alias("new"))
+    if quota < 0:
+        return marked.select("origin", "url", "verdict")
+    # the quota is cut in every task before the shuffle, so a hot origin's links are never sorted in one
+    nth = F.row_number().over(Window.partitionBy("origin").orderBy("target", "url"))
+    first = marked.filter("new").withColumn("nth", nth).filter(F.col("nth") <= quota).select("origin", "url", F.lit("discover").alias("taken"))
+    return marked.join(first, ["origin", "url"], "left").select("origin", "url", F.coalesce("taken", "verdict").alias("verdict"))
 
 
 def host_states(events: DataFrame) -> DataFrame:
@@ -102,6 +108,28 @@ def crawl(seeds: DataFrame, fetch_links: Callable[[DataFrame], DataFrame], max_d
     return visited
 
 
+def next_visit(doc_id: Column, as_of: datetime, hours: float, spread: float = 0.15, seed: int = 7) -> Column:
+    """Time of the next visit: ``hours`` stretched by up to ``spread`` to both sides (seeded by the id), a quarter of an hour at least."""
+    jitter = (F.pmod(F.xxhash64(F.lit(seed), doc_id), F.lit(2_000_001)) / 1_000_000 - 1) * spread
+    return F.when(F.lit(hours > 0), F.timestamp_seconds(F.lit(as_of.timestamp()) + F.greatest(F.lit(0.25), hours * (1 + jitter)) * 3600))
+
+
+def waits(queue: DataFrame, delays: DataFrame, delay: float, as_of: datetime) -> DataFrame:
+    """(host, wait_seconds): the host's delay (its own, if longer) less the time since its last attempt, never below 0."""
+    last = queue.select(F.coalesce("host", urls.host(F.col("url"))).alias("host"), "last_attempt").groupBy("host").agg(F.max("last_attempt").alias("last"))
+    gone = F.lit(as_of.timestamp()) - F.unix_micros("last") / 1e6
+    needed = F.greatest(F.lit(float(delay)), F.coalesce("crawl_delay", F.lit(0.0)))
+    return last.join(delays, "host", "left").select("host", F.when(F.col("last").isNull(), 0.0).otherwise(F.round(F.greatest(F.lit(0.0), needed - gone), 3)).alias("wait_seconds"))
+
+
+def crawl_order(queue: DataFrame, limit: int) -> DataFrame:
+    """(url, at): Turkish addresses to the front (the latest first, as they are pushed there), the others as they came."""
+    rows = merge_queue(queue).select("url", "added_at", urls.is_turkish(F.col("url")).alias("front"))
+    age = F.when(F.col("front"), -F.unix_micros("added_at")).otherwise(F.unix_micros("added_at"))
+    best = rows.select("url", "front", age.alias("age")).orderBy(F.desc("front"), "age", "url").limit(limit)
+    return best.select("url", F.row_number().over(Window.orderBy(F.desc("front"), "age", "url")).alias("at"))  # over ``limit`` rows
+
+
 def retry_at(as_of: datetime, hours: float, jitter: Column | float = 0.0) -> Column:
     """``as_of`` plus at least 0.1 hours, stretched by a share ``jitter``; null for no retry."""
     return F.when(F.lit(hours > 0), F.timestamp_seconds(F.lit(as_of.timestamp()) + F.greatest(F.lit(0.1), hours * (1 + F.lit(jitter) if isinstance(jitter, float) else 1 + jitter)) * 3600))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..common import shared_dir
 from ..config import RankConfig
 from ..functions import text
 
@@ -70,3 +71,64 @@ def upsert_documents(old: DataFrame, new: DataFrame) -> DataFrame:
     pick = lambda c: F.coalesce(F.col(f"new_{c}"), F.col(c)) if c in ("next_crawl_at", "doc_id") else F.when(F.col("is_new"), F.col(f"new_{c}")).otherwise(F.col(c))
     cols = [F.col("url") if c == "url" else (text.normal_language(pick(c)) if c == "language" else pick(c)).alias(c) for c in old.columns if c == "url" or c in new.columns]
     return joined.select(*cols)
+
+
+#: Folders the stored postings are split into by term; a query reads those of its terms only.
+BUCKETS = 32
+
+
+class StoredIndex:
+    """Postings on disk: (term, doc_id, tf, dl, language) in folders by hash of the term, sorted by term within each file.
+
+    A search reads the folders of its terms, and of these the row groups whose term range fits; the corpus itself is
+    read for the candidates only. ``statistics`` is one row (n_docs, avgdl).
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    @classmethod
+    def build(cls, documents: DataFrame, path: str, config: RankConfig = RankConfig()) -> StoredIndex:
+        docs = corpus(documents)
+        body = text.tokens(F.col("content"))
+        marked = lambda c, w: F.transform(c, lambda t: F.struct(t.alias("term"), F.lit(w).alias("w")))
+        both = F.concat(marked(body, 1), marked(text.tokens(F.col("title")), max(1, config.title_boost)))
+        # the length is taken before the explode, else it is computed for every token
+        whole = docs.select("doc_id", "language", F.size(body).alias("dl"), both.alias("p"))
+        each = whole.select("doc_id", "language", "dl", F.explode_outer("p").alias("p")).filter("p is not null")
+        # one row for each term of a document: all its tokens are in one task, so this count needs no shuffle of its own
+        rows = each.groupBy("p.term", "doc_id", "dl", "language").agg(F.sum("p.w").alias("tf"))
+        placed = rows.withColumn("bucket", bucket(F.col("term")))
+        # hot terms are split by document, into as many parts as the cluster's shuffles have for each folder
+        parts = max(1, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")) // BUCKETS)
+        placed.repartition("bucket", F.pmod(F.hash("doc_id"), F.lit(parts))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
+        statistics(documents).coalesce(1).write.parquet(f"{path}/statistics")
+        return cls(documents.sparkSession, path)
+
+    def postings(self, terms: list[str]) -> DataFrame:
+        rows = self.spark.read.schema("term string, doc_id bigint, dl int, language string, tf bigint, bucket int").parquet(f"{self.path}/postings")
+        # the buckets of literal terms are folded to constants, so the filter prunes folders
+        return rows.filter(F.col("bucket").isin(*[bucket(F.lit(t)) for t in terms]) & F.col("term").isin(terms)).select("term", "doc_id", "dl", "language", "tf")
+
+    def vocabulary(self) -> DataFrame:
+        """(term, df): reads the term column only."""
+        return self.spark.read.parquet(f"{self.path}/postings").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+    def statistics(self) -> DataFrame:
+        return self.spark.read.schema("n_docs bigint, avgdl double").parquet(f"{self.path}/statistics")
+
+
+def bucket(term):
+    return F.pmod(F.hash(term), F.lit(BUCKETS)).cast("int")
+
+
+_STORED: dict[tuple[str, str], StoredIndex] = {}
+
+
+def stored_index(documents: DataFrame, name: str) -> StoredIndex:
+    """The index of a corpus in the shared folder; built at its first use in a session."""
+    spark = documents.sparkSession
+    key = (spark.sparkContext.applicationId, name)
+    if key not in _STORED:
+        _STORED[key] = StoredIndex.build(documents, f"{shared_dir(spark)}/index-{spark.sparkContext.applicationId}-{len(_STORED)}")
+    return _STORED[key]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,35 +10,44 @@ from pyspark.sql import functions as F
 
 from ..config import RankConfig
 from ..functions import text, urls
-from .index import corpus, document_frequencies, lengths
+from . import fuzzy
+from .index import StoredIndex, corpus, document_frequencies, lengths
 
 
-def query_terms(queries: DataFrame) -> DataFrame:
-    """(query_id, term, qtf, pos): tokens of each query, repeats counted, first place kept."""
-    each = queries.select("query_id", F.posexplode(text.tokens(F.col("query"))).alias("pos", "term"))
-    return each.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"), F.min("pos").alias("pos"))
+def query_terms(queries: list[tuple[int, str]]) -> list[tuple[int, str, int, int]]:
+    """(query_id, term, qtf, pos): tokens of each query, repeats counted, first place kept; no job."""
+    out = []
+    for query_id, query in queries:
+        words = text.tokens_of(query) if isinstance(query, str) else list(query)
+        out += [(query_id, t, words.count(t), words.index(t)) for t in dict.fromkeys(words)]
+    return out
 
 
 def matches(docs: DataFrame, terms: list[str], config: RankConfig = RankConfig()) -> DataFrame:
-    """(term, doc_id, tf, dl): postings of some terms with the document's length, from one scan and one small shuffle."""
+    """(term, doc_id, dl, language, tf): postings of some terms straight from the documents, one scan and one small shuffle."""
     body, head = text.tokens_all(F.col("content")), text.tokens_all(F.col("title"))
     kept = lambda c, w: F.transform(F.filter(c, lambda t: t.isin(*terms)), lambda t: F.struct(t.alias("term"), F.lit(w).alias("w")))
-    some = docs.select("doc_id", F.size(text.without_stopwords(body)).alias("dl"), F.concat(kept(body, 1), kept(head, max(1, config.title_boost))).alias("p"))
-    return some.select("doc_id", "dl", F.explode_outer("p").alias("p")).filter("p is not null").groupBy("p.term", "doc_id", "dl").agg(F.sum("p.w").alias("tf"))
+    some = docs.select("doc_id", "language", F.size(text.without_stopwords(body)).alias("dl"), F.concat(kept(body, 1), kept(head, max(1, config.title_boost))).alias("p"))
+    return some.select("doc_id", "dl", "language", F.explode_outer("p").alias("p")).filter("p is not null").groupBy("p.term", "doc_id", "dl", "language").agg(F.sum("p.w").alias("tf"))
 
 
-def bm25(documents: DataFrame, queries: list[tuple[int, str]], config: RankConfig = RankConfig(), limit: int | None = None, preferred: str | None = None) -> DataFrame:
+def bm25(source: DataFrame | StoredIndex, queries: list[tuple[int, str]], config: RankConfig = RankConfig(), limit: int | None = None, preferred: str | None = None) -> DataFrame:
     """(query_id, doc_id, score, base_rank) of the best ``limit`` documents of each query.
 
-    The query list comes from the caller's memory, so its tables are broadcast. Terms above ``max_df_ratio`` only add
+    From a stored index only the postings of the queries' terms are read; documents without one are tokenised in passing.
+    A query is a text, or a list of terms. The query list comes from the caller's memory, so its tables are broadcast. Terms above ``max_df_ratio`` only add
     to documents that a rarer term, or one of the two rarest, has found: a flag of the score's aggregation instead of an ordered loop.
     """
-    spark = documents.sparkSession
-    docs = corpus(documents)
-    asked = query_terms(spark.createDataFrame(queries, "query_id int, query string"))
-    terms = sorted({r.term for r in asked.select("term").distinct().collect()})  # the caller's own words
-    posts = matches(docs, terms, config)
-    stats = lengths(docs).agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.nullif(F.avg("dl"), F.lit(0.0)), F.lit(1.0)).alias("avgdl"))
+    rows = query_terms(queries)
+    terms = sorted({r[1] for r in rows})
+    if isinstance(source, StoredIndex):
+        spark, posts = source.spark, source.postings(terms)
+        stats = source.statistics().select("n_docs", F.coalesce(F.nullif("avgdl", F.lit(0.0)), F.lit(1.0)).alias("avgdl"))
+    else:
+        docs = corpus(source)
+        spark, posts = docs.sparkSession, matches(docs, terms, config)
+        stats = lengths(docs).agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.nullif(F.avg("dl"), F.lit(0.0)), F.lit(1.0)).alias("avgdl"))
+    asked = spark.createDataFrame(rows, "query_id int, term string, qtf int, pos int")
     order = Window.partitionBy("query_id").orderBy("df", "pos")
     plan = (
         asked.join(document_frequencies(posts), "term")
@@ -49,11 +59,13 @@ def bm25(documents: DataFrame, queries: list[tuple[int, str]], config: RankConfi
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (config.k1 + 1) / (F.col("tf") + config.k1 * (1 - config.b + config.b * F.col("dl") / F.col("avgdl")) + 1e-9)
     # a document counts if any term that may expand has found it
-    scores = hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("qtf") * weight), 6).alias("score"), F.bool_or("expands").alias("found")).filter("found").drop("found")
+    scores = hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("qtf") * weight), 6).alias("score"), F.bool_or("expands").alias("found"), F.first("language").alias("language")).filter("found").drop("found")
     if preferred:
-        spoken = scores.join(docs.select("doc_id", "language"), "doc_id").withColumn("same", F.col("language").startswith(preferred))
-        some = F.max("same").over(Window.partitionBy("query_id"))
-        scores = spoken.withColumn("some", some).filter("same or not some").select("query_id", "doc_id", F.when(~F.col("same") & (F.col("language") != ""), F.round(F.col("score") * config.other_language_penalty, 6)).otherwise(F.col("score")).alias("score"))
+        same = F.col("language").startswith(preferred)
+        some = scores.groupBy("query_id").agg(F.bool_or(same).alias("some"))  # one row a query
+        spoken = scores.join(F.broadcast(some), "query_id").filter(same | ~F.col("some"))
+        scores = spoken.withColumn("score", F.when(~same & (F.col("language") != ""), F.round(F.col("score") * config.other_language_penalty, 6)).otherwise(F.col("score")))
+    scores = scores.select("query_id", "doc_id", "score")
     rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return scores.withColumn("base_rank", F.row_number().over(rank)).filter(F.col("base_rank") <= (limit or config.top_k))
 
@@ -105,9 +117,16 @@ def domain_cap(ranked: DataFrame, cap: int, order: list[Column]) -> DataFrame:
     return ranked.withColumn("at", at).filter((F.col("domain") == "") | (F.col("at") <= cap)).drop("at")
 
 
+def chosen(documents: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Corpus rows of a few candidates: their ids (``initial_k`` at most) reach the scan as a filter."""
+    rows = candidates.collect()
+    few = documents.sparkSession.createDataFrame(rows, candidates.schema)
+    return corpus(documents.filter(F.col("doc_id").isin([r.doc_id for r in rows]))).join(F.broadcast(few), "doc_id")
+
+
 def rerank(documents: DataFrame, candidates: DataFrame, terms: list[str], as_of: datetime, config: RankConfig = RankConfig(), preferred: str | None = None) -> DataFrame:
-    """(query_id, doc_id, score) of one query's candidates. Content is read for candidates only."""
-    rows = corpus(documents).join(F.broadcast(candidates), "doc_id")  # at most initial_k candidates
+    """(query_id, doc_id, score, rank) of one query's candidates. Content is read for candidates only."""
+    rows = chosen(documents, candidates)
     if preferred and config.strict_language:
         rows = rows.filter(F.col("language").startswith(preferred))
     rows = rows.filter(allowed_url(F.col("url"), config) & quality_flags(config)).withColumn("key", title_key(F.col("title")))
@@ -120,17 +139,41 @@ def rerank(documents: DataFrame, candidates: DataFrame, terms: list[str], as_of:
     return capped.withColumn("rank", last).filter(F.col("rank") <= config.top_k).select("query_id", "doc_id", "score", "rank")
 
 
-def search(documents: DataFrame, query: str, as_of: datetime, config: RankConfig = RankConfig(), preferred: str | None = None) -> DataFrame:
+def search(documents: DataFrame, query: str | list[str], as_of: datetime, config: RankConfig = RankConfig(), preferred: str | None = None, index: StoredIndex | None = None) -> DataFrame:
     """(query_id, doc_id, score, rank): BM25 candidates, then rerank."""
-    terms = query_words(documents, query)
-    return rerank(documents, bm25(documents, [(1, query)], config, config.initial_k, preferred), terms, as_of, config, preferred)
+    terms = text.tokens_of(query) if isinstance(query, str) else query
+    return rerank(documents, bm25(index or documents, [(1, terms)], config, config.initial_k, preferred), terms, as_of, config, preferred)
+
+
+def parsed_terms(answer: str | None, most: int = 6) -> list[str]:
+    """Terms of an expander's answer: a list with commas, line breaks as blanks."""
+    return [p for p in (x.strip() for x in (answer or "").replace("\n", " ").split(",")) if p][:most]
+
+
+def search_with_fuzzy(documents: DataFrame, index: StoredIndex, query: str, as_of: datetime, config: RankConfig = RankConfig(), preferred: str | None = None, expand: Callable[[str], str] | None = None, correct: bool = True) -> tuple[DataFrame, dict[str, str], list[str]]:
+    """(results, corrections, used terms): expansion by the caller's function, typo correction, BM25, rerank."""
+    extra = ", ".join(parsed_terms(expand(query))) if expand else ""
+    terms = text.tokens_of(f"{query} {extra}".strip())
+    changes: dict[str, str] = {}
+    if correct and terms:
+        # terms with postings are right as they are; only the rest is compared with the vocabulary
+        there = {r.term for r in index.postings(terms).select("term").distinct().collect()}
+        wrong = [t for t in dict.fromkeys(terms) if t not in there]
+        if wrong:
+            found = {r.term: r.corrected for r in fuzzy.correct(index.vocabulary(), wrong).collect()}
+            changes = {t: c for t, c in found.items() if t != c}
+    used = [changes.get(t, t) for t in terms]
+    return search(documents, used, as_of, config, preferred, index), changes, used
 
 
-def query_words(documents: DataFrame, query: str) -> list[str]:
-    return documents.sparkSession.createDataFrame([(query,)], "q string").select(text.tokens(F.col("q"))).head()[0]
+def api_results(documents: DataFrame, results: DataFrame, terms: list[str], radius: int = 120) -> DataFrame:
+    """(rank, doc_id, url, title, score, language, length, snippet) of search results, as the interface gives them."""
+    body = F.col("content")
+    rows = chosen(documents, results)
+    return rows.select("rank", "doc_id", "url", F.coalesce(F.nullif("title", F.lit("")), "url").alias("title"), "score", "language", F.size(text.tokens(body)).alias("length"), text.snippet(body, terms, radius).alias("snippet"))
 
 
 def with_snippets(documents: DataFrame, results: DataFrame, terms: list[str], radius: int = 120) -> DataFrame:
     """(query_id, rank, doc_id, url, title, score, snippet): titles fall back to the address."""
-    d = corpus(documents).select("doc_id", "url", F.coalesce(F.nullif("title", F.lit("")), "url").alias("title"), text.snippet(F.col("content"), terms, radius).alias("snippet"))
-    return d.join(F.broadcast(results), "doc_id").select("query_id", "rank", "doc_id", "url", "title", "score", "snippet")
+    rows = chosen(documents, results)
+    return rows.select("query_id", "rank", "doc_id", "url", F.coalesce(F.nullif("title", F.lit("")), "url").alias("title"), "score", text.snippet(F.col("content"), terms, radius).alias("snippet"))

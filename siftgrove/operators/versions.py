@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,12 +18,12 @@ def chunk_starts(n: Column, config: ChunkConfig) -> Column:
     return F.when(n == 0, F.array().cast("array<int>")).when(n <= m, F.array(F.lit(0))).otherwise(F.filter(all_, lambda s: (s == 0) | (s - step + m < n)))
 
 
-def chunks(documents: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFrame:
-    """(doc_id, chunk_index, content, token_count, content_hash, quality_score): overlapping word windows."""
-    parts = documents.select("doc_id", text.words(F.col("content")).alias("w"), text.quality_score(F.col("title"), F.col("content")).alias("quality_score"))
-    at = parts.select("doc_id", "w", "quality_score", F.posexplode_outer(chunk_starts(F.size("w"), config)).alias("chunk_index", "s")).filter("s is not null")
-    cut = at.select("doc_id", "chunk_index", F.array_join(F.slice("w", F.col("s") + 1, config.max_tokens), " ").alias("content"), "quality_score")
-    return cut.select("doc_id", "chunk_index", "content", F.size(text.tokens_all(F.col("content"))).alias("token_count"), text.sha(F.col("content")).alias("content_hash"), "quality_score")
+def chunks(documents: DataFrame, config: ChunkConfig = ChunkConfig(), keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, chunk_index, content, token_count, content_hash, quality_score, *keep): overlapping word windows."""
+    parts = documents.select("doc_id", *keep, text.words(F.col("content")).alias("w"), text.quality_score(F.col("title"), F.col("content")).alias("quality_score"))
+    at = parts.select("doc_id", *keep, "w", "quality_score", F.posexplode_outer(chunk_starts(F.size("w"), config)).alias("chunk_index", "s")).filter("s is not null")
+    cut = at.select("doc_id", *keep, "chunk_index", F.array_join(F.slice("w", F.col("s") + 1, config.max_tokens), " ").alias("content"), "quality_score")
+    return cut.select("doc_id", "chunk_index", "content", F.size(text.tokens_all(F.col("content"))).alias("token_count"), text.sha(F.col("content")).alias("content_hash"), "quality_score", *keep)
 
 
 def versions(snapshots: DataFrame) -> DataFrame:
@@ -70,3 +72,40 @@ def after_delete(snapshots: DataFrame, gone: DataFrame) -> DataFrame:
     """Snapshots of deleted documents stay, without their doc_id."""
     marked = snapshots.join(gone.select("doc_id", F.lit(True).alias("gone")).distinct(), "doc_id", "left")
     return marked.withColumn("doc_id", F.when(F.col("gone").isNull(), F.col("doc_id"))).drop("gone")
+
+
+def sync(parsed: DataFrame, pages: DataFrame, at: datetime) -> DataFrame:
+    """The version table after a batch of pages: (doc_id, content_hash, title, content, language, version, quality_score,
+    first_seen_at, last_seen_at, is_current, changed).
+
+    parsed: the table before (may be empty); pages: (doc_id, title, content, language, content_hash), one row for each
+    document. A known hash is seen again and current once more, a new one gets the document's next version; all other
+    versions of a synced document are no longer current. Running a batch again changes nothing but ``last_seen_at``.
+    """
+    clean = lambda c: text.clean_space(F.col(c))
+    new = pages.filter("doc_id is not null and content_hash is not null").select("doc_id", "content_hash", clean("title").alias("title"), clean("content").alias("content"), text.normal_language(F.col("language")).alias("language"), F.lit(True).alias("here"))
+    old = parsed.select("doc_id", "content_hash", "title", "content", "language", "version", "quality_score", "first_seen_at", "last_seen_at", "is_current")
+    o, n = old.alias("o"), new.alias("n")
+    both = o.join(n, (F.col("o.doc_id") == F.col("n.doc_id")) & (F.col("o.content_hash") == F.col("n.content_hash")), "full_outer")
+    pick = lambda c: F.coalesce(f"o.{c}", f"n.{c}").alias(c)
+    rows = both.select(pick("doc_id"), pick("content_hash"), pick("title"), pick("content"), pick("language"), "o.version", "o.quality_score", "o.first_seen_at", "o.last_seen_at", F.coalesce("o.is_current", F.lit(False)).alias("was"), F.coalesce("n.here", F.lit(False)).alias("here"))
+    by_doc = Window.partitionBy("doc_id")
+    synced, last, now = F.bool_or("here").over(by_doc), F.coalesce(F.max("version").over(by_doc), F.lit(0)), F.lit(at)
+    fresh = F.col("version").isNull()
+    return rows.select(
+        "doc_id", "content_hash", "title", "content", "language",
+        F.when(fresh, last + 1).otherwise(F.col("version")).cast("int").alias("version"),
+        F.when(fresh, text.quality_score(F.col("title"), F.col("content"))).otherwise(F.col("quality_score")).alias("quality_score"),
+        F.coalesce("first_seen_at", now).alias("first_seen_at"),
+        F.when(F.col("here"), now).otherwise(F.col("last_seen_at")).alias("last_seen_at"),
+        F.when(synced, F.col("here")).otherwise(F.col("was")).alias("is_current"),
+        fresh.alias("changed"),
+    )
+
+
+PARSED = "doc_id bigint, content_hash string, title string, content string, language string, version int, quality_score double, first_seen_at timestamp, last_seen_at timestamp, is_current boolean"
+
+
+def active_chunks(parsed: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFrame:
+    """(doc_id, version, chunk_index, content, token_count, content_hash, quality_score): chunks of the current versions."""
+    return chunks(parsed.filter("is_current"), config, keep=("version",))

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..common import table
 from ..functions import sql, text, urls
-from ..operators import dataset, frontier, graph, ranking, vectors, versions
+from ..operators import dataset, frontier, graph, images, ranking, vectors, versions
 from ..sources import codec, pages
-from .search_plans import AS_OF, QUERY, SQL_AS_OF, _rerank_sql
+from .search_plans import AS_OF, QUERY, SQL_AS_OF, _rerank_sql, stored
 
 MODELS = [("student", "v1", "local", 1), ("student", "v2", "local", 3), ("student", "v1", "local", 2), ("ranker", "a", "cloud", 5), ("ranker", "b", "cloud", 4)]
 RULES = [("limanrota-haber.example", 0, "/archive", False), ("limanrota-haber.example", 1, "/archive/2", True), ("limanrota-haber.example", 2, "/de/", False), ("limanrota-haber.example", 3, "", False)]
@@ -23,12 +23,13 @@ def _model_rows(spark):
     return spark.createDataFrame(rows, "model_name string, model_version string, provider string, published_at timestamp")
 
 
-def source_hits(documents, query: str, top_docs: int = 5, chunks_per_doc: int = 2):
+def source_hits(documents, query: str, top_docs: int = 5, chunks_per_doc: int = 2, index=None):
     """(doc_id, chunk_index, score, content): best chunks of the best documents, by document score, overlap and rank."""
-    terms = sorted(set(ranking.query_words(documents, query)))
-    best = ranking.search(documents, query, AS_OF, ranking.RankConfig(top_k=top_docs))
-    some = documents.join(F.broadcast(best.select("doc_id")), "doc_id", "left_semi")
-    parts = versions.chunks(some)
+    terms = sorted(set(text.tokens_of(query)))
+    found = ranking.search(documents, query, AS_OF, ranking.RankConfig(top_k=top_docs), index=index)
+    rows = found.collect()  # top_docs at most
+    best = documents.sparkSession.createDataFrame(rows, found.schema)
+    parts = versions.chunks(documents.filter(F.col("doc_id").isin([r.doc_id for r in rows])))
     first = Window.partitionBy("doc_id").orderBy("chunk_index")
     parts = parts.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= max(1, 2 * chunks_per_doc))
     both = F.size(F.array_intersect(F.array_distinct(text.tokens(F.col("content"))), F.array(*[F.lit(t) for t in terms])))
@@ -36,9 +37,9 @@ def source_hits(documents, query: str, top_docs: int = 5, chunks_per_doc: int =
     return scored.orderBy(F.desc("score"), "rank", "chunk_index").limit(max(1, top_docs * chunks_per_doc)).select("doc_id", "chunk_index", "score", "content")
 
 
-def extractive_answer(documents, query: str):
+def extractive_answer(documents, query: str, index=None):
     """(answer): the beginnings of the three best hits, joined by a blank line."""
-    hits = source_hits(documents, query).select("doc_id", "chunk_index", "score", F.substring("content", 1, 280).alias("part"))
+    hits = source_hits(documents, query, index=index).select("doc_id", "chunk_index", "score", F.substring("content", 1, 280).alias("part"))
     best = hits.orderBy(F.desc("score"), "doc_id", "chunk_index").limit(3)
     listed = best.agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "doc_id", "chunk_index", "part"))).alias("l"))
     return listed.select(F.array_join(F.transform("l", lambda x: x["part"]), "\n\n").alias("answer"))
@@ -58,6 +59,34 @@ def recent_hosts(documents, newest: int = 400):
     return top.groupBy("site").agg(F.count(F.lit(1)).alias("pages"), F.max("last_crawled").alias("last_crawled"), F.max_by("url", F.struct("last_crawled", "doc_id")).alias("url"))
 
 
+def synced(documents, snapshots):
+    """The version table after the documents, and then their newest stored pages, were synced."""
+    spark = documents.sparkSession
+    newest = snapshots.filter("doc_id is not null and content_hash is not null").groupBy("doc_id").agg(F.max(F.struct("fetched_at", "snapshot_id", "content_hash", "raw_html")).alias("p"))
+    pages_ = newest.select("doc_id", F.lit("").alias("title"), F.coalesce("p.raw_html", F.lit("")).alias("content"), F.lit("").alias("language"), "p.content_hash")
+    first = versions.sync(spark.createDataFrame([], versions.PARSED), documents, AS_OF)
+    return versions.sync(first.drop("changed"), pages_, AS_OF)
+
+
+def robots_files(hosts):
+    """(host, body): a robots file for each host, its delay from the host's failures."""
+    return hosts.select(F.lower("host").alias("host"), F.concat(F.lit("User-agent: *\nDisallow: /archive # old\nAllow: /archive/2\nCrawl-delay: "), F.coalesce("failure_count", F.lit(0)).cast("string"), F.lit("\nUser-agent: other\nDisallow: /\nSitemap: https://"), F.lower("host"), F.lit("/s.xml\n")).alias("body"))
+
+
+def linked_pages(documents):
+    """(doc_id, url, raw_html): a page for each document that links the next one of its site, twice, and two places outside."""
+    site = Window.partitionBy(urls.netloc(F.col("url"))).orderBy("doc_id")
+    near = documents.select("doc_id", "url", F.lead("url").over(site).alias("next"))
+    html = F.concat(F.lit("<p><a href='"), F.coalesce("next", F.lit("mailto:x")), F.lit("'>a</a><a href=' "), F.coalesce("next", F.lit("#")), F.lit("#part'>b</a><a href='http://[bad'>c</a><a href='https://nowhere.example/'>d</a>"))
+    return near.select("doc_id", "url", html.alias("raw_html"))
+
+
+def sitemaps(documents):
+    """(host, body): a sitemap of every site's documents."""
+    site = urls.host(F.col("url"))
+    return documents.filter(site != "").groupBy(site.alias("host"), F.pmod("doc_id", F.lit(50)).alias("part")).agg(F.concat(F.lit("<urlset>"), F.concat_ws("", F.collect_list(F.concat(F.lit("<url><loc> "), "url", F.lit(" </loc></url>")))), F.lit("</urlset>")).alias("body")).select("host", "body")
+
+
 def queries() -> dict:
     t = table
     docs = lambda s, d: t(s, d, "documents")
@@ -93,8 +122,8 @@ def queries() -> dict:
         "vector_topk": lambda s, d: vectors.find_similar(emb(s, d), [((i * 37) % 19 - 9) / 10 for i in range(64)]),
         "vector_similar_to_doc": lambda s, d: vectors.find_similar_to(emb(s, d), 10),
         "vector_candidates": lambda s, d: vectors.among_candidates(emb(s, d), [((i * 37) % 19 - 9) / 10 for i in range(64)], docs(s, d).filter("language = 'en'")),
-        "source_hits": lambda s, d: source_hits(docs(s, d), QUERY),
-        "extractive_answer": lambda s, d: extractive_answer(docs(s, d), QUERY),
+        "source_hits": lambda s, d: source_hits(docs(s, d), QUERY, index=stored(s, d)),
+        "extractive_answer": lambda s, d: extractive_answer(docs(s, d), QUERY, stored(s, d)),
         "dataset_plain": lambda s, d: dataset.plain_text(docs(s, d)),
         "dataset_manifest": lambda s, d: dataset.manifest(docs(s, d)),
         "distill_samples": lambda s, d: dataset.distill_samples(docs(s, d)),
@@ -122,6 +151,21 @@ def queries() -> dict:
         "queue_next": lambda s, d: frontier.next_urls(queue(s, d), 100),
         "per_host_cap": lambda s, d: frontier.per_host(queue(s, d), 10),
         "frontier_admission": lambda s, d: frontier.admission(links(s, d), hosts(s, d), 3),
+        "retry_next_20": lambda s, d: frontier.to_retry(hosts(s, d), AS_OF, 20),
+        "crawl_order": lambda s, d: frontier.crawl_order(queue(s, d), 200),
+        "host_waits": lambda s, d: frontier.waits(queue(s, d), hosts(s, d).select(F.lower("host").alias("host"), (F.col("failure_count") * 86400.0 * 30).alias("crawl_delay")), 3600.0, AS_OF),
+        "robots_rules": lambda s, d: pages.robots_rules(robots_files(hosts(s, d))),
+        "sitemap_urls": lambda s, d: pages.sitemap_urls(sitemaps(docs(s, d))).distinct(),
+        "page_links": lambda s, d: graph.page_links(pages.parse_html(linked_pages(docs(s, d))), docs(s, d)),
+        "page_rank_10": lambda s, d: graph.pagerank(graph.page_links(pages.parse_html(linked_pages(docs(s, d))), docs(s, d)), iterations=10),
+        "sync_pipeline": lambda s, d: synced(docs(s, d), snaps(s, d)).select("doc_id", "content_hash", "version", "is_current", "changed"),
+        "active_chunks": lambda s, d: versions.active_chunks(versions.sync(s.createDataFrame([], versions.PARSED), docs(s, d), AS_OF)).select("doc_id", "version", "chunk_index", "content_hash", "token_count"),
+        "distill_counters": lambda s, d: dataset.distill_counters(docs(s, d)),
+        "image_records": lambda s, d: images.records(t(s, d, "images")),
+        "images_replaced": lambda s, d: images.replaced(t(s, d, "images"), t(s, d, "images").withColumn("alt", F.lit("new")).filter("width > 0"), docs(s, d).filter("language = 'en'")).select("image_id", "doc_id", "alt"),
+        "images_unknown": lambda s, d: images.unknown(t(s, d, "images"), t(s, d, "images").join(docs(s, d).filter("language = 'en'").select("doc_id"), "doc_id", "left_semi")).select("image_id", "url"),
+        "image_extensions": lambda s, d: t(s, d, "images").select("image_id", images.extension(F.col("img_format"), F.col("url")).alias("extension")),
+        "result_images": lambda s, d: images.of_results(t(s, d, "images"), ranking.search(docs(s, d), QUERY, AS_OF, index=stored(s, d)), docs(s, d)),
         "image_grid": lambda s, d: image_grid(t(s, d, "images")),
         "first_image": lambda s, d: t(s, d, "images").filter("doc_id is not null").groupBy("doc_id").agg(F.min_by("url", "image_id").alias("thumbnail"), F.count(F.lit(1)).alias("images")),
         "image_formats": lambda s, d: t(s, d, "images").groupBy(F.when(F.lower(F.trim("img_format")) == "jpg", "jpeg").otherwise(F.coalesce(F.lower(F.trim("img_format")), F.lit("unknown"))).alias("format")).agg(F.count(F.lit(1)).alias("images"), F.sum("size_bytes").alias("bytes")),
@@ -171,6 +215,7 @@ dist as (select * from hashed qualify row_number() over (partition by sample_has
     hits = _rerank_sql() + f""", top5 as (select * from last_ where rank <= 5), picked as (select d.* from documents d join top5 using (doc_id)), {_chunks_sql('picked')},
 sc as (select chunks.doc_id, chunk_index, round(score + 2 * len(list_filter(list_distinct({sql.tokens('content')}), lambda x: list_contains({QUERY.split()!r}, x))) + 1.0::double / rank, 6) as score, rank, content from chunks join top5 using (doc_id) where chunk_index < 4),
 best10 as (select * from sc order by score desc, rank, chunk_index limit 10)"""
+    turkish_url = f"({host('url')} like '%.tr' or {host('url')} like 'tr.%' or contains(lower({{p}}), '/tr/') or starts_with(lower({{p}}), '/tr') or contains(lower({{q}}), 'lang=tr'))".format(p=r"regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)", q=r"coalesce(regexp_extract(url, '^[^?#]*(\?[^#]*)', 1), '')")
     turkish = f"({host('url')} like '%.tr' or {host('url')} like 'tr.%' or contains(lower({{p}}), '/tr/') or starts_with(lower({{p}}), '/tr') or contains(lower({{q}}), 'lang=tr'))".format(p=r"regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)", q=r"coalesce(regexp_extract(url, '^[^?#]*(\?[^#]*)', 1), '')")
     return {
         "quality_score": f"select doc_id, {sql.quality('title', 'content')} as quality_score from documents",
@@ -193,7 +238,7 @@ best10 as (select * from sc order by score desc, rank, chunk_index limit 10)"""
         "extractive_answer": hits + ", three as (select * from best10 order by score desc, doc_id, chunk_index limit 3) select string_agg(substr(content, 1, 280), chr(10) || chr(10) order by score desc, doc_id, chunk_index) as answer from three",
         "dataset_plain": f"with {plain} select * from plain where quality_score >= 0.15 and text <> ''",
         "dataset_manifest": f"with {plain}, {grounded} select (select count(*) from plain where quality_score >= 0.15 and text <> '') as documents, (select count(*) from g where quality_score >= 0.15) as chunks",
-        "distill_samples": f"with {distill(50)} select doc_id, chunk_index, question, answer, sample_hash from dist",
+        "distill_samples": f"with {distill(50)} select doc_id, chunk_index, question, answer, sample_hash, true as used_fallback from dist",
         "distill_eval": f"with {distill(200)} select count(*) as samples, count(distinct sample_hash) as distinct_samples from dist",
         "model_registry_active": f"with p as (select * from (values {models}) v(model_name, model_version, provider, published_at) qualify row_number() over (partition by model_name, model_version order by published_at desc) = 1) select model_name, model_version, provider, row_number() over (partition by model_name order by published_at desc, model_version desc) = 1 as is_active, published_at from p",
         "crawl_run_log": "select crawl_run_id, status, coalesce(len(seed_urls), 0)::integer as n_seeds, round((epoch_us(finished_at) - epoch_us(started_at)) / 1e6::double, 3) as seconds, nullif(trim(notes), '') as notes from crawl_runs",
@@ -226,6 +271,33 @@ k as (select t.*, h.host is not null as settled from t left join (select lower(h
 n as (select *, good and target = origin as inside, good and target <> origin and not settled as fresh from k),
 o as (select *, sum(fresh::integer) over (partition by origin, fresh order by target, url rows unbounded preceding) as nth from n)
 select origin, url, case when not good then 'skip' when inside then 'queue' when settled then 'known' when nth <= 3 then 'discover' else 'over quota' end as verdict from o""",
+        "retry_next_20": f"select host, status, failure_count, coalesce(retry_after, first_seen) as since from discovered_hosts where status in ('failed', 'blocked') and (retry_after is null or retry_after <= {SQL_AS_OF}) order by since nulls first, host limit 20",
+        "crawl_order": f"with {merged}, k as (select url, epoch_us(added_at) as a, {turkish_url} as front from m), n as (select url, row_number() over (order by front desc, case when front then -a else a end, url) as \"at\" from k) select url, \"at\"::integer as \"at\" from n where \"at\" <= 200",
+        "host_waits": f"""with l as (select coalesce(host, {host('url')}) as host, max(last_attempt) as last from crawl_queue group by 1),
+w as (select lower(host) as host, failure_count * 86400.0::double * 30 as crawl_delay from discovered_hosts)
+select l.host, case when last is null then 0.0::double else round(greatest(0.0::double, greatest(3600.0::double, coalesce(crawl_delay, 0)) - (epoch({SQL_AS_OF}) - epoch_us(last) / 1e6::double)), 3) end as wait_seconds from l left join w using (host)""",
+        "robots_rules": """with h as (select lower(host) as host, coalesce(failure_count, 0) as f from discovered_hosts)
+select host, 0 as ord, '/archive' as pattern, false as allow, null::double as delay, null::varchar as sitemap from h union all select host, 1, '/archive/2', true, null, null from h
+union all select host, null, null, null, f::double, null from h union all select host, null, null, null, null, 'https://' || host || '/s.xml' from h""",
+        "sitemap_urls": f"select distinct {host('url')} as host, regexp_extract(url, '^[^<\\]\\s]+') as url from documents where {host('url')} <> ''",
+        "page_links": f"""with c as (select doc_id, {canon} as target, lead({canon}) over (partition by {sql.site('url')} order by doc_id) as next from documents)
+select distinct a.doc_id as src, b.doc_id as dst from c a join c b on a.next = b.target union select a.doc_id, b.doc_id from c a join c b on a.next is null and a.target = b.target""",
+        "sync_pipeline": """with n as (select doc_id, content_hash from raw_snapshots where doc_id is not null and content_hash is not null qualify row_number() over (partition by doc_id order by fetched_at desc, snapshot_id desc) = 1),
+d as (select doc_id, content_hash from documents where content_hash is not null)
+select d.doc_id, d.content_hash, 1 as version, n.doc_id is null or n.content_hash = d.content_hash as is_current, false as changed from d left join n using (doc_id)
+union all select n.doc_id, n.content_hash, case when d.doc_id is null then 1 else 2 end, true, true from n left join d using (doc_id) where d.doc_id is null or n.content_hash <> d.content_hash""",
+        "active_chunks": f"with {_chunks_sql('(select * from documents where content_hash is not null)')} select doc_id, 1 as version, chunk_index, sha256(content) as content_hash, len({sql.tokens_all('content')})::integer as token_count from chunks",
+        "distill_counters": f"with {distill(50)} select count(*) as created, (select count(*) from best) - count(*) as skipped, count(*) as fallback_count, 0::bigint as teacher_success_count from dist",
+        "image_records": """select image_id, doc_id, coalesce(url, '') as url, coalesce(alt, '') as alt, greatest(coalesce(width, 0), 0)::integer as width, greatest(coalesce(height, 0), 0)::integer as height,
+  case when coalesce(trim(img_format), '') = '' then 'unknown' when lower(trim(img_format)) = 'jpg' then 'jpeg' else lower(trim(img_format)) end as img_format, greatest(coalesce(size_bytes, 0), 0) as size_bytes,
+  case when coalesce(height, 0) > 0 then round(greatest(coalesce(width, 0), 0)::double / height, 4) else 0.0::double end as aspect_ratio from images""",
+        "images_replaced": """with p as (select doc_id from documents where language = 'en')
+select image_id, doc_id, alt from images where doc_id is null or doc_id not in (select doc_id from p) union all select image_id, doc_id, 'new' from images where doc_id in (select doc_id from p) and width > 0""",
+        "images_unknown": "select image_id, url from images where url is null or url = '' or url not in (select url from images where url is not null and doc_id in (select doc_id from documents where language = 'en'))",
+        "image_extensions": r"""select image_id, case when lower(coalesce(img_format, '')) not in ('', 'unknown') then lower(img_format)
+  when regexp_extract(p, '\.([^.]*)$', 1) <> '' then lower(regexp_extract(p, '\.([^.]*)$', 1)) else 'bin' end as extension from (select *, regexp_extract(coalesce(url, ''), '^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)', 1) as p from images)""",
+        "result_images": _rerank_sql() + f""", i as (select l.rank, m.doc_id, m.image_id, m.url from images m join last_ l using (doc_id) where l.rank <= 10 and m.url is not null qualify row_number() over (partition by m.doc_id order by m.image_id) <= 3)
+select i.rank, i.doc_id, i.image_id, i.url, {sql.site('d.url')} as site from i join documents d using (doc_id)""",
         "image_grid": """with a as (select * from images where url is not null and doc_id is not null qualify row_number() over (partition by url order by doc_id, image_id) = 1),
 b as (select * from a qualify row_number() over (partition by doc_id order by image_id) <= 3) select doc_id, image_id, url, coalesce(alt, '') as alt from b order by doc_id, image_id limit 60""",
         "first_image": "select doc_id, arg_min(url, image_id) as thumbnail, count(*) as images from images where doc_id is not null group by doc_id",

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime, timezone
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..common import table
+from ..common import shared_dir, table
 from ..config import RankConfig
 from ..functions import sql, text, urls
 from ..operators import fuzzy, index, ranking
@@ -17,9 +18,16 @@ SQL_AS_OF = "timestamptz '2026-02-01 00:00:00+00'"
 QUERY = "noise report harbour office"
 TYPOS = ["librarry", "harbuor", "timetible", "kütüphanee", "spring"]
 BATCH = [(1, QUERY), (2, "eski köprü taşkın duvarı"), (3, "recipe dark bread weather service"), (4, "bibliothèque tarif pain noir"), (5, "flood wall flood wall winter")]
+FUZZY = "nois reprot harbour office"
+DOC_URL = "https://dosugrad2e-wiki.example/fr/kovenholt-42"
 HIGH_DF = [(1, "community timetable port desk")]
 
 
+def stored(spark, d):
+    """The stored index of a folder's documents, built at its first use."""
+    return index.stored_index(_docs(spark, d), d)
+
+
 def _docs(spark, d):
     return table(spark, d, "documents")
 
@@ -29,7 +37,17 @@ def queries() -> dict:
         return index.corpus(_docs(spark, d))
 
     def bm25(batch, config=RankConfig(), preferred=None):
-        return lambda s, d: ranking.bm25(_docs(s, d), batch, config, preferred=preferred).select("query_id", "doc_id", "score", F.col("base_rank").alias("rank"))
+        return lambda s, d: ranking.bm25(stored(s, d), batch, config, preferred=preferred).select("query_id", "doc_id", "score", F.col("base_rank").alias("rank"))
+
+    def found(s, d):
+        return ranking.search(_docs(s, d), QUERY, AS_OF, index=stored(s, d))
+
+    def fuzzy_found(s, d):
+        return ranking.search_with_fuzzy(_docs(s, d), stored(s, d), FUZZY, AS_OF)
+
+    def corrections(s, d):
+        _, changes, used = fuzzy_found(s, d)
+        return s.createDataFrame([(i, t, u) for i, (t, u) in enumerate(zip(FUZZY.split(), used))], "pos int, term string, used string")
 
     terms = QUERY.split()
     return {
@@ -45,8 +63,17 @@ def queries() -> dict:
         "bm25_high_df_semijoin": bm25([(1, "bread recipe harbour wall winter")], RankConfig(max_df_ratio=0.02)),
         "bm25_lang_match": bm25([(1, QUERY)], preferred="en"),
         "bm25_lang_no_match": bm25([(1, "harbour office")], preferred="xx"),
-        "rerank_full": lambda s, d: ranking.search(_docs(s, d), QUERY, AS_OF),
-        "search_snippets": lambda s, d: ranking.with_snippets(_docs(s, d), ranking.search(_docs(s, d), QUERY, AS_OF), terms),
+        "bm25_unindexed": lambda s, d: ranking.bm25(_docs(s, d), [(1, QUERY)]).select("query_id", "doc_id", "score", F.col("base_rank").alias("rank")),
+        "index_build": lambda s, d: index.StoredIndex.build(_docs(s, d), f"{shared_dir(s)}/index-{uuid.uuid4().hex}").vocabulary(),
+        "rerank_full": found,
+        "lucky": lambda s, d: found(s, d).filter("rank = 1").join(_docs(s, d).select("doc_id", "url"), "doc_id").select("doc_id", "url"),
+        "search_snippets": lambda s, d: ranking.with_snippets(_docs(s, d), found(s, d), terms),
+        "api_search": lambda s, d: ranking.api_results(_docs(s, d), found(s, d), terms),
+        "search_with_fuzzy": lambda s, d: fuzzy_found(s, d)[0],
+        "fuzzy_used_terms": corrections,
+        "doc_by_url": lambda s, d: _docs(s, d).filter(F.col("url") == DOC_URL).select("doc_id"),
+        "doc_terms": lambda s, d: index.postings(_docs(s, d).filter("doc_id = 42")).select("term", "tf"),
+        "language_update": lambda s, d: _docs(s, d).select("doc_id", text.normal_language(F.col("language")).alias("language")),
         "snippet_first_hit": lambda s, d: corpus(s, d).select("doc_id", text.snippet(F.col("content"), ["harbour", "report"], 40).alias("snippet")),
         "proximity_gap": lambda s, d: corpus(s, d).select("doc_id", F.round(ranking.proximity(F.col("content"), ["noise", "harbour", "bread"]), 6).alias("proximity")),
         "freshness_bonus": lambda s, d: corpus(s, d).select("doc_id", F.round(ranking.freshness(F.col("last_crawled"), AS_OF, 14.0), 6).alias("freshness")),
@@ -55,7 +82,7 @@ def queries() -> dict:
         "domain_cap": lambda s, d: _domain_cap(_docs(s, d)),
         "kgram_jaccard_shortlist": lambda s, d: fuzzy.shortlist(index.document_frequencies(index.postings(_docs(s, d))), TYPOS),
         "fuzzy_correct": lambda s, d: fuzzy.correct(index.document_frequencies(index.postings(_docs(s, d))), TYPOS),
-        "index_upsert_delta": lambda s, d: index.upsert(index.postings(_docs(s, d)), _docs(s, d).filter("doc_id % 7 = 0").withColumn("content", F.upper("title"))),
+        "index_upsert_delta": lambda s, d: index.upsert(index.postings(_docs(s, d)), _recrawled(s, d)),
         "delete_documents": lambda s, d: index.without(index.postings(_docs(s, d)), _docs(s, d).filter("language is null").select("doc_id")).groupBy("term").agg(F.count(F.lit(1)).alias("df")),
         "reindex_missing": lambda s, d: index.not_indexed(_docs(s, d), index.postings(_docs(s, d))).select("doc_id"),
         "orphan_postings": lambda s, d: index.postings(_docs(s, d)).join(_docs(s, d).filter("content_hash is not null and length > 100").select("doc_id"), "doc_id", "left_anti").groupBy("doc_id").agg(F.count(F.lit(1)).alias("terms")),
@@ -63,6 +90,12 @@ def queries() -> dict:
     }
 
 
+def _recrawled(spark, d):
+    """Documents whose newest stored page is newer than their last visit, with the page's text as their content."""
+    newest = table(spark, d, "raw_snapshots").filter("doc_id is not null and raw_html is not null").groupBy("doc_id").agg(F.max(F.struct("fetched_at", "snapshot_id", "raw_html")).alias("p"))
+    return _docs(spark, d).join(newest, "doc_id").filter(F.col("p.fetched_at") > F.col("last_crawled")).withColumn("content", F.col("p.raw_html"))
+
+
 def _title_dedupe(documents):
     d = index.corpus(documents).select("doc_id", ranking.title_key(F.col("title")).alias("key"))
     at = F.row_number().over(Window.partitionBy("key").orderBy("doc_id"))
@@ -75,8 +108,9 @@ def _domain_cap(documents):
 
 
 def _incoming(documents):
-    some = documents.filter("doc_id % 10 = 3")
-    return some.select((F.col("doc_id") + 1000000).alias("doc_id"), F.when(F.col("doc_id") % 20 == 3, F.col("url")).otherwise(F.concat("url", F.lit("&new=1"))).alias("url"), F.concat(F.lit("new: "), "title").alias("title"), F.lit(" TR-x ").alias("language"), F.when(F.col("doc_id") % 3 == 0, F.col("last_crawled")).alias("next_crawl_at"))
+    """What a new crawl brings: every document that is due again, under its address or (where the label is missing) a new one."""
+    some = documents.filter(F.col("next_crawl_at").isNull() | (F.col("next_crawl_at") <= F.lit(AS_OF)))
+    return some.select((F.col("doc_id") + 1000000).alias("doc_id"), F.when(F.col("language").isNotNull(), F.col("url")).otherwise(F.concat("url", F.lit("&new=1"))).alias("url"), F.concat(F.lit("new: "), "title").alias("title"), F.lit(" TR-x ").alias("language"), F.when(F.col("title").isNotNull(), F.col("last_crawled")).alias("next_crawl_at"))
 
 
 _BASE = f"""
@@ -163,6 +197,13 @@ def oracle_sql() -> dict[str, str]:
         "bm25_lang_match": _bm25_sql([(1, QUERY)], preferred="en"),
         "bm25_lang_no_match": _bm25_sql([(1, "harbour office")], preferred="xx"),
         "rerank_full": _rerank_sql() + " select query_id, doc_id, score, rank from last_ where rank <= 10",
+        "bm25_unindexed": _bm25_sql([(1, QUERY)]),
+        "index_build": f"with {_BASE} select term, count(*) as df from post group by term",
+        "lucky": _rerank_sql() + " select doc_id, url from last_ join base using (doc_id) where rank = 1",
+        "api_search": _rerank_sql() + f" select rank, doc_id, url, coalesce(nullif(title, ''), url) as title, score, language, len({sql.tokens('content')})::integer as length, {_snippet_sql(QUERY.split(), 120)} as snippet from last_ join base using (doc_id) where rank <= 10",
+        "doc_by_url": f"select doc_id from documents where url = '{DOC_URL}'",
+        "doc_terms": f"with {_BASE} select term, tf from post where doc_id = 42",
+        "language_update": "select doc_id, substr(regexp_extract(lower(trim(coalesce(language, ''))), '^[^-_,]*'), 1, 5) as language from documents",
         "search_snippets": _rerank_sql() + f" select query_id, rank, doc_id, url, coalesce(nullif(title, ''), url) as title, score, {_snippet_sql(QUERY.split(), 120)} as snippet from last_ join base using (doc_id) where rank <= 10",
         "snippet_first_hit": f"with {_BASE} select doc_id, {_snippet_sql(['harbour', 'report'], 40)} as snippet from base",
         "proximity_gap": f"with {_BASE} select doc_id, round({_proximity_sql(['noise', 'harbour', 'bread'], 'content')}, 6) as proximity from base",
@@ -174,13 +215,14 @@ def oracle_sql() -> dict[str, str]:
 q as (select query_term, len(g) as nq, unnest(g) as gram from (select query_term, {grams('query_term')} as g from (values {typos}) x(query_term))),
 s as (select query_term, term, round(count(*) / (any_value(nq) + any_value(nt) - count(*)), 6) as jaccard from q join vg using (gram) group by query_term, term)
 select query_term, term, jaccard, row_number() over (partition by query_term order by jaccard desc, term) as at_ from s where jaccard >= 0.2 qualify at_ <= 200""".replace("at_ from", "\"at\" from").replace("qualify at_ <= 200", "qualify row_number() over (partition by query_term order by jaccard desc, term) <= 200"),
-        "index_upsert_delta": f"""with {_BASE}, fresh as (select doc_id, {sql.tokens("upper(title)")} as body, {sql.tokens('title')} as head from documents where doc_id % 7 = 0)
-select term, doc_id, tf from post where doc_id % 7 <> 0 union all
+        "index_upsert_delta": f"""with {_BASE}, newest as (select doc_id, fetched_at, raw_html from raw_snapshots where doc_id is not null and raw_html is not null qualify row_number() over (partition by doc_id order by fetched_at desc, snapshot_id desc, raw_html desc) = 1),
+fresh as (select doc_id, {sql.tokens("raw_html")} as body, {sql.tokens('title')} as head from documents join newest using (doc_id) where fetched_at > last_crawled)
+select term, doc_id, tf from post where doc_id not in (select doc_id from fresh) union all
 select term, doc_id, sum(w)::bigint as tf from (select unnest(body) as term, doc_id, 1 as w from fresh union all select unnest(head), doc_id, 3 from fresh) group by term, doc_id""",
         "delete_documents": f"with {_BASE} select term, count(*) as df from post where doc_id not in (select doc_id from documents where language is null) group by term",
         "reindex_missing": f"with {_BASE} select doc_id from tok where len(body) + len(head) = 0",
         "orphan_postings": f"with {_BASE} select doc_id, count(*) as terms from post where doc_id not in (select doc_id from documents where content_hash is not null and length > 100) group by doc_id",
-        "upsert_documents": """with n as (select doc_id + 1000000 as doc_id, case when doc_id % 20 = 3 then url else url || '&new=1' end as url, 'new: ' || title as title, ' TR-x ' as language, case when doc_id % 3 = 0 then last_crawled end as next_crawl_at from documents where doc_id % 10 = 3)
+        "upsert_documents": f"""with n as (select doc_id + 1000000 as doc_id, case when language is not null then url else url || '&new=1' end as url, 'new: ' || title as title, ' TR-x ' as language, case when title is not null then last_crawled end as next_crawl_at from documents where next_crawl_at is null or next_crawl_at <= {SQL_AS_OF})
 select coalesce(n.doc_id, o.doc_id) as doc_id, coalesce(n.url, o.url) as url, case when n.url is not null then n.title else o.title end as title,
   substr(regexp_extract(lower(trim(coalesce(case when n.url is not null then n.language else o.language end, ''))), '^[^-_,]*'), 1, 5) as language, coalesce(n.next_crawl_at, o.next_crawl_at) as next_crawl_at
 from documents o full join n on o.url = n.url""",

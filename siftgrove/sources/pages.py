@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin
@@ -20,38 +21,56 @@ PARSED = "doc_id bigint, title string, text string, links array<string>, images
 
 
 class _Page(HTMLParser):
+    """Collects what a page says: a handler for each tag that matters, everything else is passed over."""
+
     def __init__(self, base: str):
         super().__init__(convert_charrefs=True)
-        self.base, self.skip, self.in_title = base, 0, False
+        self.base, self.open = base, Counter()
         self.title, self.parts, self.links, self.images, self.lang = [], [], [], [], ""
+        self.on = {"html": self._html, "meta": self._meta, "a": self._link, "img": self._image}
 
     def handle_starttag(self, tag, attrs):
-        a = dict(reversed([(k, v or "") for k, v in attrs]))
-        if tag in SKIPPED:
-            self.skip += 1
-        elif tag == "title":
-            self.in_title = True
-        elif tag == "html":
-            self.lang = a.get("lang", "").strip() or self.lang
-        elif tag == "meta" and a.get("http-equiv", "").lower() == "content-language":
-            self.lang = a.get("content", "").strip() or self.lang
-        elif tag == "a" and a.get("href") and not a["href"].startswith(NO_LINK):
-            self.links.append(urljoin(self.base, a["href"]))
-        elif tag == "img" and (src := a.get("src") or a.get("data-src")) and not src.startswith("data:"):
-            self.images.append((urljoin(self.base, src), a.get("alt", "").strip()))
+        if tag in SKIPPED or tag == "title":
+            self.open[tag] += 1
+        elif tag in self.on:
+            said: dict[str, str] = {}
+            for name, value in attrs:  # of a repeated attribute the first counts
+                said.setdefault(name, (value or "").strip())
+            self.on[tag](said)
 
     def handle_endtag(self, tag):
-        if tag in SKIPPED:
-            self.skip = max(0, self.skip - 1)
-        elif tag == "title":
-            self.in_title = False
+        if self.open[tag]:
+            self.open[tag] -= 1
 
     def handle_data(self, data):
-        if self.skip or not data.strip():
-            return
-        if self.in_title:
-            self.title.append(data.strip())
-        self.parts.append(data.strip())
+        words = data.strip()
+        if words and not any(self.open[t] for t in SKIPPED):
+            self.parts.append(words)
+            if self.open["title"]:
+                self.title.append(words)
+
+    def _html(self, said):
+        self.lang = said.get("lang") or said.get("xml:lang") or self.lang
+
+    def _meta(self, said):
+        if said.get("http-equiv", "").lower() == "content-language" or said.get("name", "").lower() in ("language", "lang"):
+            self.lang = said.get("content", "").partition(",")[0].strip() or self.lang
+
+    def _absolute(self, address: str) -> str | None:
+        try:
+            return urljoin(self.base, address)
+        except ValueError:  # one bad address costs itself only
+            return None
+
+    def _link(self, said):
+        target = said.get("href", "")
+        if target and not target.startswith(NO_LINK) and (found := self._absolute(target)) is not None:
+            self.links.append(found)
+
+    def _image(self, said):
+        source = said.get("src") or said.get("data-src") or ""
+        if source and not source.startswith("data:") and (found := self._absolute(source)) is not None:
+            self.images.append((found, said.get("alt", "")))
 
 
 def parse_page(html: str | None, base: str | None) -> tuple:
@@ -148,3 +167,10 @@ def sitemap_urls(files: DataFrame) -> DataFrame:
     lines = F.filter(F.transform(F.split(body, r"\r?\n"), lambda x: F.trim(x)), lambda x: x.contains("://"))
     found = F.when(body.contains("<"), locs).otherwise(lines)
     return files.filter(F.octet_length("body") <= MAX_XML).select("host", F.explode(F.array_distinct(found)).alias("url"))
+
+
+def html_pages(fetched: DataFrame) -> DataFrame:
+    """(page_id, url, html) of fetched bodies (page_id, url, content_type, body): pages by type or without one, cut at the size limit."""
+    kind = F.lower(F.coalesce("content_type", F.lit("")))
+    some = fetched.filter(F.col("body").isNotNull() & ((kind == "") | kind.contains("text/html") | kind.contains("application/xhtml")))
+    return some.select("page_id", "url", decode(F.substring("body", F.lit(1), F.lit(MAX_HTML))).alias("html"))

@@ -194,3 +194,99 @@ def test_embedding_of_whole_text():
     head = "word " * 512
     a, b = vectors.hashing_embedder()([head, head + "harbour " * 300])
     assert a != b
+
+
+AS_OF = datetime(2026, 1, 1, tzinfo=timezone.utc)
+
+
+def test_stored_index(spark, tmp_path):
+    d = docs(spark, [(1, "Spark guide", "spark engine runs spark jobs"), (2, "Lake", "engine stores lake tables"), (3, "", "spark lake"), (4, None, None)])
+    stored = index.StoredIndex.build(d, str(tmp_path / "ix"))
+    batch = [(1, "spark"), (2, "spark lake"), (3, "spark spark"), (4, "nothing here"), (5, "")]
+    for preferred in (None, "en", "de"):
+        rows = lambda source: {tuple(r) for r in ranking.bm25(source, batch, preferred=preferred).collect()}  # noqa: E731,B023
+        assert rows(stored) == rows(d) and rows(d)
+    plan = stored.postings(["spark"])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket" in plan and "In(term" in plan or "EqualTo(term" in plan
+    empty = index.StoredIndex.build(d.limit(0), str(tmp_path / "none"))
+    assert ranking.bm25(empty, [(1, "spark")]).count() == 0
+
+
+def test_search_with_fuzzy(spark, tmp_path):
+    body = " ".join(f"w{i}" for i in range(40))
+    d = docs(spark, [(1, "Library", f"library harbour {body}"), (2, "Other", f"harbour winter {body}")])
+    stored = index.StoredIndex.build(d, str(tmp_path / "ix"))
+    found, changes, used = ranking.search_with_fuzzy(d, stored, "librarry harbour", AS_OF)
+    assert changes == {"librarry": "library"} and used == ["library", "harbour"] and found.head().doc_id == 1
+    _, _, used = ranking.search_with_fuzzy(d, stored, "harbour", AS_OF, expand=lambda q: "winter,\\n, ", correct=False)
+    assert used == ["harbour", "winter"]
+    row = ranking.api_results(d, found, ["library"]).filter("doc_id = 1").head()
+    assert (row.title, row.language, row.length) == ("Library", "en", 42) and row.snippet.startswith("library harbour")
+
+
+def test_html_details():
+    page = '<html xml:lang="de"><meta name="language" content="fr, en"><a href="http://[bad">x</a><a href=" /b ">y</a><a href="/c" href="/d">z</a><img data-src=" i.png " alt="A"></html>'
+    _, _, links, images, lang = pages.parse_page(page, "https://h.example/a/")
+    assert links == ["https://h.example/b", "https://h.example/c"] and images == [("https://h.example/a/i.png", "A")] and lang == "fr"
+    assert pages.parse_page('<html xml:lang="de">', "")[4] == "de"
+
+
+def test_fetched_pages(spark):
+    rows = [(1, "u", "text/html; charset=utf-8", b"<p>a"), (2, "u", "application/pdf", b"x"), (3, "u", None, b"b"), (4, "u", "text/html", None)]
+    got = pages.html_pages(spark.createDataFrame(rows, "page_id long, url string, content_type string, body binary")).collect()
+    assert {(r.page_id, r.html) for r in got} == {(1, "<p>a"), (3, "b")}
+
+
+def test_sync(spark):
+    schema = "doc_id long, title string, content string, language string, content_hash string"
+    batch = lambda *rows: spark.createDataFrame(rows, schema)
+    body = "Bu bir ornek dokumandir. Icindeki bilgiler tekrar kullanilabilir. " * 8
+    first = versions.sync(spark.createDataFrame([], versions.PARSED), batch((1, " Example ", body, "TR-x", "v1"), (2, None, None, None, "h"), (3, "", "", "", None)), AS_OF)
+    assert {(r.doc_id, r.version, r.is_current, r.changed) for r in first.collect()} == {(1, 1, True, True), (2, 1, True, True)}
+    again = versions.sync(first.drop("changed"), batch((1, "Example", body, "tr", "v1")), AS_OF)
+    assert {(r.doc_id, r.is_current, r.changed) for r in again.collect()} == {(1, True, False), (2, True, False)}
+    second = versions.sync(again.drop("changed"), batch((1, "New", "other text", "tr", "v2")), AS_OF)
+    assert {(r.content_hash, r.version, r.is_current) for r in second.filter("doc_id = 1").collect()} == {("v1", 1, False), ("v2", 2, True)}
+    assert {r.version for r in versions.active_chunks(second).filter("doc_id = 1").collect()} == {2}
+    back = versions.sync(second.drop("changed"), batch((1, "Example", body, "tr", "v1")), AS_OF)
+    assert {(r.content_hash, r.version, r.is_current) for r in back.filter("doc_id = 1").collect()} == {("v1", 1, True), ("v2", 2, False)}
+    assert versions.active_chunks(back).filter("doc_id = 1").head().quality_score == pytest.approx(0.4652)
+
+
+def test_teacher(spark):
+    d = docs(spark, [(1, "Title", "word " * 40), (2, "Other", "text " * 40)])
+    teacher = lambda asked: ['{"question": " Q? ", "answer": "A."}' if a["title"] == "Title" else "no json" for a in asked]
+    got = {r.doc_id: (r.question, r.answer, r.used_fallback) for r in dataset.distill_samples(d, teacher=teacher).collect()}
+    assert got[1] == ("Q?", "A.", False) and got[2][0].startswith("Other hakkinda") and got[2][2]
+    known = dataset.distill_samples(d, teacher=teacher)
+    assert tuple(dataset.distill_counters(d, teacher=teacher).head()) == (2, 0, 1, 1)
+    assert tuple(dataset.distill_counters(d, known=known, teacher=teacher).head())[:2] == (0, 2)
+
+
+def test_training_log(spark):
+    rows = [("m", 1, '{"teacher": "t", "epochs": 3}'), ("m", 2, "broken"), ("m", 3, None)]
+    got = {r.run_id: (r.teacher, r.epochs) for r in dataset.training_log(spark.createDataFrame(rows, "model_name string, run_id int, config_json string")).collect()}
+    assert got == {1: ("t", 3), 2: (None, 0), 3: (None, 0)}
+    name = spark.createDataFrame([(datetime(2026, 1, 2, 3, 4, 5),)], "t timestamp").select(dataset.dataset_name("set", F.col("t"))).head()[0]
+    assert name.startswith("set_20260102_")
+
+
+def test_images(spark):
+    from siftgrove.operators import images
+
+    schema = "image_id long, doc_id long, url string, alt string, width int, height int, img_format string, size_bytes long"
+    rows = spark.createDataFrame([(1, 1, "https://h/a.PNG?x", None, 30, 20, "JPG", 5), (2, 1, None, "a", None, 0, " ", None), (3, None, "b", "", -1, 2, "unknown", 1)], schema)
+    got = {r.image_id: (r.alt, r.width, r.img_format, r.size_bytes, r.aspect_ratio) for r in images.records(rows).collect()}
+    assert got == {1: ("", 30, "jpeg", 5, 1.5), 2: ("a", 0, "unknown", 0, 0.0), 3: ("", 0, "unknown", 1, 0.0)}
+    assert [r[0] for r in rows.orderBy("image_id").select(images.extension(F.col("img_format"), F.col("url"))).collect()] == ["jpg", " ", "bin"]
+    assert {r.image_id for r in images.replaced(rows, rows.filter("image_id = 2"), rows.select("doc_id")).collect()} == {2, 3}
+    assert {r.image_id for r in images.unknown(rows, rows.filter("image_id = 1")).collect()} == {2, 3}
+
+
+def test_visits(spark):
+    ids = spark.range(200).select(frontier.next_visit(F.col("id"), AS_OF, 10.0).alias("t"), frontier.next_visit(F.col("id"), AS_OF, 0.1).alias("soon"), frontier.next_visit(F.col("id"), AS_OF, 0.0).alias("none"))
+    hours = [x[0] for x in ids.select((F.unix_micros("t") / 1e6 - AS_OF.timestamp()) / 3600).collect()]
+    assert min(hours) >= 8.5 and max(hours) <= 11.5 and max(hours) - min(hours) > 2
+    assert ids.filter("none is not null").count() == 0
+    q = spark.createDataFrame([("https://a.tr/", 0, 0, "a.tr", datetime(2026, 1, 2), None), ("https://b.de/", 0, 0, "b.de", datetime(2026, 1, 1), None), ("https://c.tr/", 0, 0, "c.tr", datetime(2026, 1, 3), None)], "url string, depth int, priority int, host string, added_at timestamp, last_attempt timestamp")
+    assert [r.url for r in frontier.crawl_order(q, 9).orderBy("at").collect()] == ["https://c.tr/", "https://a.tr/", "https://b.de/"]
