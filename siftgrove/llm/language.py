@@ -34,8 +34,9 @@ LINE_NATS = 6.0
 #: A line in another language has a sentence (an end, or two clauses) with so many words known in that language.
 KNOWN_WORDS = 4
 SENTENCE = re.compile(r"[.?!…][\"”»“’)\]]*\s*$|[.;!?] \S| - \S")
-#: Weight of the text's log-likelihood (words of a page are not independent), and of a site's prior in pages.
-TEMPER, SITE_WEIGHT = 0.5, 5.0
+#: Weight of the text's log-likelihood (words of a page are not independent), most nats the shares of characters can
+#: speak for a language, and weight of a site's prior in pages.
+TEMPER, SHARE_NATS, SITE_WEIGHT = 0.5, 200.0, 5.0
 #: Chance that a label or an address names the language, where it names one of the known languages.
 LABEL_TRUST, ADDRESS_TRUST = 0.8, 0.8
 # Labels that mean no language.
@@ -121,7 +122,6 @@ class Scorer:
         index = np.asarray(coded.indices)
         return np.stack([np.bincount(rows, table[index, k], len(lines)) for k in range(table.shape[1])], axis=1) if len(index) else np.zeros((len(lines), table.shape[1]))
 
-
     def sentences(self, lines: list[str], languages: np.ndarray) -> np.ndarray:
         """Whether each line has a sentence, with ``KNOWN_WORDS`` words known from samples of its language."""
         whole, out = self.model.whole, np.zeros(len(lines), bool)
@@ -136,7 +136,7 @@ def label_part(label: Column) -> Column:
     return F.coalesce(F.trim(F.lower(F.regexp_extract(F.trim(label), r"^([^-_]*)", 1))), F.lit(""))
 
 
-SCORES = "doc_id bigint, site string, label string, address string, evidence array<float>, chars array<bigint>, odd array<struct<line_no:int,lang:int,margin:float>>"
+SCORES = "doc_id bigint, site string, label string, address string, certain float, evidence array<float>, chars array<bigint>, odd array<struct<line_no:int,lang:int,margin:float>>"
 
 
 def page_scores(documents: DataFrame, lang_samples: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -162,8 +162,11 @@ def page_scores(documents: DataFrame, lang_samples: DataFrame) -> tuple[DataFram
             clear = margin >= LINE_NATS
             at = np.flatnonzero(clear)
             clear[at] = scorer.sentences(flat.take(pa.array(at)).to_pylist(), own[at])
+            second = np.sort(like, axis=1)[:, -2] if k > 1 else np.zeros(len(doc))
+            certain = np.bincount(doc, like.max(1) - second, n)
             lang = np.where(clear, own, said)
             chars = np.bincount(doc * k + lang, size, n * k).reshape(n, k).astype(np.int64)
+            share = np.minimum(SHARE_NATS, TEMPER * certain)[:, None] * chars / np.maximum(chars.sum(1), 1)[:, None]
             # lines that are not in the language with most characters, measured against that one
             most = chars.argmax(1)
             against = like.max(1) - like[np.arange(len(doc)), most[doc]]
@@ -177,9 +180,9 @@ def page_scores(documents: DataFrame, lang_samples: DataFrame) -> tuple[DataFram
             )
             edge = pa.array(np.arange(0, (n + 1) * k, k), pa.int32())
             out = pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array([site_name(u) for u in urls]), b.column("label"), pa.array(address)]
-                + [pa.ListArray.from_arrays(edge, pa.array(page.astype(np.float32).ravel())), pa.ListArray.from_arrays(edge, pa.array(chars.ravel())), lists],
-                names=["doc_id", "site", "label", "address", "evidence", "chars", "odd"],
+                [b.column("doc_id"), pa.array([site_name(u) for u in urls]), b.column("label"), pa.array(address), pa.array(certain.astype(np.float32)), pa.ListArray.from_arrays(edge, pa.array(share.astype(np.float32).ravel()))]
+                + [pa.ListArray.from_arrays(edge, pa.array(chars.ravel())), lists],
+                names=["doc_id", "site", "label", "address", "certain", "evidence", "chars", "odd"],
             )
             yield out.filter(pa.array(np.abs(page).sum(1) > 0))
 
@@ -190,8 +193,8 @@ def page_scores(documents: DataFrame, lang_samples: DataFrame) -> tuple[DataFram
 def _fused(scores: DataFrame, names: list[str]) -> DataFrame:
     """Adds ``posterior`` (by language), from text, label, address and the site's smoothed prior."""
     k = len(names)
-    by_text = F.array_position(F.transform("evidence", lambda x: x == F.array_max("evidence")), True).cast("int") - 1
-    clear = F.array_max("evidence") - F.element_at(F.array_sort("evidence"), k - 1) >= LINE_NATS
+    by_text = F.array_position("chars", F.array_max("chars")).cast("int") - 1
+    clear = F.col("certain") >= LINE_NATS
     counts = scores.filter(clear).groupBy("site", by_text.alias("lang")).agg(F.count(F.lit(1)).alias("n"))
     everywhere = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}  # one row per language
     total = sum(everywhere.values()) + k
@@ -204,7 +207,7 @@ def _fused(scores: DataFrame, names: list[str]) -> DataFrame:
         return F.when(F.col(column).isin(*names), F.when(F.col(column) == names[j], F.lit(log(trust))).otherwise(log(other))).otherwise(0.0)
 
     logs = [
-        TEMPER * F.col("evidence")[j]
+        F.col("evidence")[j]
         + F.log((F.coalesce(F.col(f"n{j}"), F.lit(0)) + SITE_WEIGHT * base[j]) / (F.coalesce("pages", F.lit(0)) + SITE_WEIGHT))
         + told("label", LABEL_TRUST, j)
         + told("address", ADDRESS_TRUST, j)
@@ -218,17 +221,14 @@ def _fused(scores: DataFrame, names: list[str]) -> DataFrame:
 def languages(documents: DataFrame, lang_samples: DataFrame) -> DataFrame:
     """(doc_id, line_no, lang, confidence, label): line 0 is the page, other rows its lines in another language.
 
-    The page's language is the one with most characters; only where no line says anything clear (a few words) does
-    the fused posterior decide alone.
+    The fused posterior decides the page's language: the shares of characters of its lines, as far as the lines are
+    certain, with label, address and site. Its lines in another language are measured against the page's.
     """
     scores, names = page_scores(documents, lang_samples)
     fused = _fused(stored(scores, "language-scores"), names)
     tongues = F.array(*[F.lit(n) for n in names])
-    most = F.array_position("chars", F.array_max("chars")).cast("int")
     best = F.array_position(F.transform("posterior", lambda p: p == F.array_max("posterior")), True).cast("int")
-    weak = F.array_max("evidence") - F.element_at(F.array_sort("evidence"), len(names) - 1) < LINE_NATS
-    main = F.when(weak, best).otherwise(most)
-    pages = fused.withColumn("main", main).withColumn("confidence", F.round(F.greatest(F.element_at("posterior", F.col("main")), F.lit(1 / len(names))), 4))
+    pages = fused.withColumn("main", best).withColumn("confidence", F.round(F.array_max("posterior"), 4))
     page = pages.select("doc_id", F.lit(0).alias("line_no"), F.element_at(tongues, F.col("main")).alias("lang"), "confidence", "label")
     odd = pages.select("doc_id", "label", "main", F.explode("odd").alias("o")).filter(F.col("o.lang") + 1 != F.col("main"))
     line = odd.select("doc_id", F.col("o.line_no").alias("line_no"), F.element_at(tongues, F.col("o.lang") + 1).alias("lang"), F.round(1 / (1 + F.exp(-F.col("o.margin").cast("double"))), 4).alias("confidence"), "label")
