@@ -191,7 +191,8 @@ def page_scores(documents: DataFrame, lang_samples: DataFrame) -> tuple[DataFram
 
 
 def _fused(scores: DataFrame, names: list[str]) -> DataFrame:
-    """Adds ``posterior`` (by language), from text, label, address and the site's smoothed prior."""
+    """Adds ``main`` (place of the language with the highest posterior, from 1) and its posterior ``confidence``, from
+    text, label, address and the site's smoothed prior."""
     k = len(names)
     by_text = F.array_position("chars", F.array_max("chars")).cast("int") - 1
     clear = F.col("certain") >= LINE_NATS
@@ -202,20 +203,24 @@ def _fused(scores: DataFrame, names: list[str]) -> DataFrame:
     sites = counts.groupBy("site").agg(*[F.sum(F.when(F.col("lang") == j, F.col("n")).otherwise(0)).alias(f"n{j}") for j in range(k)], F.sum("n").alias("pages"))
     joined = scores.join(sites, "site", "left")
 
-    def told(column: str, trust: float, j: int) -> Column:
+    def said(column: str, trust: float, j: int) -> Column:
         other = (1 - trust) / max(1, k - 1)
         return F.when(F.col(column).isin(*names), F.when(F.col(column) == names[j], F.lit(log(trust))).otherwise(log(other))).otherwise(0.0)
 
     logs = [
         F.col("evidence")[j]
         + F.log((F.coalesce(F.col(f"n{j}"), F.lit(0)) + SITE_WEIGHT * base[j]) / (F.coalesce("pages", F.lit(0)) + SITE_WEIGHT))
-        + told("label", LABEL_TRUST, j)
-        + told("address", ADDRESS_TRUST, j)
+        + said("label", LABEL_TRUST, j)
+        + said("address", ADDRESS_TRUST, j)
         for j in range(k)
     ]
-    with_logs = joined.withColumn("logs", F.array(*logs)).withColumn("top", F.array_max("logs"))
-    soft = with_logs.withColumn("soft", F.transform("logs", lambda x: F.exp(x - F.col("top"))))
-    return soft.withColumn("posterior", F.transform("soft", lambda x: x / F.aggregate("soft", F.lit(0.0), lambda a, y: a + y)))
+    # one plain column a language: arrays in lambdas would compute all of them again for each element
+    told = joined.select("doc_id", "label", "odd", *[x.alias(f"l{j}") for j, x in enumerate(logs)])
+    columns = [F.col(f"l{j}") for j in range(k)]
+    top = F.greatest(*columns) if k > 1 else columns[0]
+    known = told.withColumn("top", top)
+    main = F.coalesce(*[F.when(c == F.col("top"), j + 1) for j, c in enumerate(columns)])
+    return known.withColumn("main", main).withColumn("confidence", F.round(1 / sum((F.exp(c - F.col("top")) for c in columns), F.lit(0.0)), 4))
 
 
 def languages(documents: DataFrame, lang_samples: DataFrame) -> DataFrame:
@@ -225,10 +230,8 @@ def languages(documents: DataFrame, lang_samples: DataFrame) -> DataFrame:
     certain, with label, address and site. Its lines in another language are measured against the page's.
     """
     scores, names = page_scores(documents, lang_samples)
-    fused = _fused(stored(scores, "language-scores"), names)
+    pages = _fused(stored(scores, "language-scores"), names)
     tongues = F.array(*[F.lit(n) for n in names])
-    best = F.array_position(F.transform("posterior", lambda p: p == F.array_max("posterior")), True).cast("int")
-    pages = fused.withColumn("main", best).withColumn("confidence", F.round(F.array_max("posterior"), 4))
     page = pages.select("doc_id", F.lit(0).alias("line_no"), F.element_at(tongues, F.col("main")).alias("lang"), "confidence", "label")
     odd = pages.select("doc_id", "label", "main", F.explode("odd").alias("o")).filter(F.col("o.lang") + 1 != F.col("main"))
     line = odd.select("doc_id", F.col("o.line_no").alias("line_no"), F.element_at(tongues, F.col("o.lang") + 1).alias("lang"), F.round(1 / (1 + F.exp(-F.col("o.margin").cast("double"))), 4).alias("confidence"), "label")
