@@ -3,7 +3,7 @@
 Texts are counted in tokens of a public byte-pair vocabulary. Per-source totals (one row per target source) go to the
 driver, where sources that cannot reach their share even at ``max_repeats`` are clamped and the rest of the budget is
 shared out again in proportion until it fits. A source then takes part with whole repetitions of all its documents
-and a seeded fraction of one more: documents are ordered by a seeded hash, 4096 hash ranges per source are summed to
+and a seeded fraction of one more: documents are ordered by a seeded hash, up to 4096 hash ranges per source are summed to
 find the range where the quota ends, and only that range is ordered document by document.
 
 Defined results: sources are compared trimmed, in lower case, with blanks and hyphens as ``_``; documents without
@@ -25,7 +25,8 @@ from ..common import stored
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the split pattern of the byte-level vocabulary (public, GPT-2 style).
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
-RANGES = 4096
+#: Hash ranges of a source; with very many sources fewer, so that so many sums reach the driver at most.
+RANGES, MOST_SUMS = 4096, 1 << 21
 MAX_TARGETS = 100_000
 
 
@@ -91,22 +92,23 @@ def mixture_of(counts: DataFrame, rows: list[dict], seed: int = 7) -> DataFrame:
     spark = counts.sparkSession
     shares = [(r["source"], int(r["given"] // r["available"]), r["given"] - r["given"] // r["available"] * r["available"], r["max_repeats"]) for r in rows if r["available"]]
     schema = "source string, whole int, part double, max_repeats int"
-    ranged = F.shiftrightunsigned(_rank(seed), 64 - int(np.log2(RANGES))).cast("int")
+    ranges = 1 << int(np.log2(max(16, min(RANGES, MOST_SUMS // max(1, len(shares))))))
+    ranged = F.shiftrightunsigned(_rank(seed), 64 - int(np.log2(ranges))).cast("int")
     placed = counts.withColumn("range", ranged)
     sums: dict[str, dict[int, int]] = {}
     keys = spark.createDataFrame([(r[0],) for r in shares], "source string")
-    for r in placed.join(keys, "source", "left_semi").groupBy("source", "range").agg(F.sum("n_tokens").alias("n")).collect():  # at most RANGES rows a source
+    for r in placed.join(keys, "source", "left_semi").groupBy("source", "range").agg(F.sum("n_tokens").alias("n")).collect():  # at most MOST_SUMS rows
         sums.setdefault(r.source, {})[r.range] = r.n
     cuts = []
     for source, whole, part, most in shares:
         left, cut = part, 0
-        for k in range(RANGES):
+        for k in range(ranges):
             n, cut = sums[source].get(k, 0), k
             if left < n:
                 break
             left -= n
         else:
-            cut = RANGES
+            cut = ranges
         cuts.append((source, whole, part, most, cut, float(left)))
     marked = placed.join(F.broadcast(spark.createDataFrame(cuts, schema + ", cut int, left double")), "source")
     at_cut = marked.filter("range = cut")
