@@ -59,6 +59,11 @@ def words(c: Column) -> Column:
     return F.filter(F.split(clean_space(c), " "), lambda w: w != "")
 
 
+def once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed a single time, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def kgrams(term: Column, k: int = 3) -> Column:
     """Distinct k-grams of a term between the marks ``^`` and ``$``; shorter marked terms are one gram."""
     marked = F.concat(F.lit("^"), term, F.lit("$"))
@@ -68,13 +73,16 @@ def kgrams(term: Column, k: int = 3) -> Column:
 
 def quality_score(title: Column, content: Column) -> Column:
     """Weighted length, variety, punctuation and title evidence between 0 and 1; 0 for empty content."""
-    ws = words(content)
-    n = F.size(ws).cast("double")
-    unique = F.size(F.array_distinct(F.transform(ws, fold))) / n
-    marks = F.length(F.regexp_replace(content, r"[^.,!?:;]", "")) / n
+    counts = once(words(content), lambda ws: F.struct(F.size(ws).cast("double").alias("n"), F.size(F.array_distinct(F.transform(ws, fold))).alias("unique")))
+    marks = F.length(F.regexp_replace(content, r"[^.,!?:;]", ""))
     title_bonus = F.when(clean_space(title) != "", 0.15).otherwise(0.0)
-    score = 0.45 * F.least(n / 250.0, F.lit(1.0)) + 0.35 * F.least(F.greatest((unique - 0.18) / 0.45, F.lit(0.0)), F.lit(1.0)) + 0.20 * F.least(marks * 18.0, F.lit(1.0)) + title_bonus
-    return F.when(n > 0, F.round(F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0)), 4)).otherwise(F.lit(0.0))
+
+    def score(c: Column) -> Column:
+        n = c["n"]
+        sum_ = 0.45 * F.least(n / 250.0, F.lit(1.0)) + 0.35 * F.least(F.greatest((c["unique"] / n - 0.18) / 0.45, F.lit(0.0)), F.lit(1.0)) + 0.20 * F.least(marks / n * 18.0, F.lit(1.0)) + title_bonus
+        return F.when(n > 0, F.round(F.least(F.greatest(sum_, F.lit(0.0)), F.lit(1.0)), 4)).otherwise(F.lit(0.0))
+
+    return once(counts, score)
 
 
 def snippet(content: Column, terms: list[str], radius: int = 120) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import ChunkConfig
 from ..functions import text
-from .versions import chunk_starts, chunks
+from .versions import chunks
 
 
 def plain_text(documents: DataFrame, min_quality: float = 0.15) -> DataFrame:
@@ -29,7 +29,9 @@ def grounded(documents: DataFrame, min_quality: float = 0.15) -> DataFrame:
 def manifest(documents: DataFrame, min_quality: float = 0.15) -> DataFrame:
     """(documents, chunks) of an export: one scan, chunks counted from the number of words without cutting any."""
     rows = documents.select(text.quality_score(F.col("title"), F.col("content")).alias("q"), F.size(text.words(F.col("content"))).alias("n")).filter(F.col("q") >= min_quality)
-    count = F.coalesce(F.sum(F.size(chunk_starts(F.col("n"), ChunkConfig()))), F.lit(0)).cast("bigint")
+    m, step = ChunkConfig().max_tokens, max(1, ChunkConfig().max_tokens - ChunkConfig().overlap)
+    each = text.once(F.col("n"), lambda n: F.when(n == 0, 0).when(n <= m, 1).otherwise(F.ceil((n - m + step) / step)))
+    count = F.coalesce(F.sum(each), F.lit(0)).cast("bigint")
     return rows.agg(F.count_if(F.col("n") > 0).alias("documents"), count.alias("chunks"))
 
 
