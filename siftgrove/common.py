@@ -53,10 +53,14 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
+    removed_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed_at_end(spark: SparkSession, path: str) -> None:
+    atexit.register(_remove, spark, path)
+
+
 def dropped(df: DataFrame) -> None:
     """Removes the files of a stored table that nothing will read again."""
     for file in {f.rpartition("/")[0] for f in df.inputFiles()}:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..common import shared_dir
+from ..common import removed_at_end, shared_dir
 from ..config import RankConfig
 from ..functions import text
 
@@ -126,9 +126,11 @@ _STORED: dict[tuple[str, str], StoredIndex] = {}
 
 
 def stored_index(documents: DataFrame, name: str) -> StoredIndex:
-    """The index of a corpus in the shared folder; built at its first use in a session."""
+    """The index of a corpus in the shared folder; built at its first use in a session, removed at the session's end."""
     spark = documents.sparkSession
     key = (spark.sparkContext.applicationId, name)
     if key not in _STORED:
-        _STORED[key] = StoredIndex.build(documents, f"{shared_dir(spark)}/index-{spark.sparkContext.applicationId}-{len(_STORED)}")
+        path = f"{shared_dir(spark)}/index-{spark.sparkContext.applicationId}-{len(_STORED)}"
+        removed_at_end(spark, path)
+        _STORED[key] = StoredIndex.build(documents, path)
     return _STORED[key]
