@@ -6,8 +6,9 @@ in a pair's state by the same model after the pair's inverse transform. All pair
 need no labels of their own: states change between runs of other characters. Viterbi labels the runs; neighbouring
 runs in one state are a span, and each span gets its state's inverse.
 
-The bigram model is fitted on ``lang_samples`` (text of known language; at most ``SAMPLE_ROWS`` rows) in normal and
-upper case, with common typographic signs added.
+The bigram model is fitted on all rows of ``lang_samples`` (text of known language) in normal and upper case, with common
+typographic signs added. Bigrams are counted in the tasks; the driver gets the distinct ones, which the characters in use
+bound and not the rows.
 
 Leaving the clean state costs ``ENTER``; a field whose runs together gain no more than that in their best states has
 the all-clean path as its best path, so that test is exact and skips the table of the Viterbi search.
@@ -20,15 +21,16 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import repeat
 from math import log
+from operator import add
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-SAMPLE_ROWS = 20_000
 #: Costs in nats of leaving the clean state, of coming back, and of changing between two pairs.
 ENTER, LEAVE, CHANGE = 5.8, 1.0, 9.0
 #: Nats taken from a state for each letter it turns into a sign before a letter.
@@ -76,20 +78,40 @@ def _byte_of(encoding: str) -> dict[str, int]:
     return table
 
 
+def bigrams(texts: Iterable[str]) -> Counter[str]:
+    """Occurrences of neighbouring characters in the words of texts, each word between blanks, in normal and upper case."""
+    double: Counter[str] = Counter()
+    for text in texts:
+        for t in (text, text.upper()):
+            for w in t.split():
+                w = f" {w} "
+                double.update(map(add, w, w[1:]))
+    return double
+
+
 class Model:
     """Bigram model and inverse transforms; a few hundred KB."""
 
     def __init__(self, samples: list[str]):
+        self._fit(bigrams(samples), len(samples))
+
+    @classmethod
+    def counted(cls, double: Counter[str], n_samples: int) -> Model:
+        """The model of samples whose bigrams are counted already."""
+        model = cls.__new__(cls)
+        model._fit(double, n_samples)
+        return model
+
+    def _fit(self, double: Counter[str], n_samples: int) -> None:
+        signs = bigrams(SIGNS)
+        double = double + Counter({ab: n * max(1, n_samples // 20) for ab, n in signs.items()})
         single: Counter[str] = Counter()
-        double: Counter[tuple] = Counter()
         kinds: Counter[tuple] = Counter()
-        for text in [*samples, *SIGNS * max(1, len(samples) // 20)]:
-            for t in (text, text.upper()):
-                for w in t.split():
-                    w = f" {w} "
-                    single.update(w)
-                    double.update(zip(w, w[1:]))
-                    kinds.update((kind(a), kind(b)) for a, b in zip(w, w[1:]))
+        for (a, b), n in double.items():
+            single[a] += n
+            if b == " ":  # the last character of a word begins no bigram
+                single[b] += n
+            kinds[kind(a), kind(b)] += n
         # backed off to kinds of characters, so that scripts and cases don't mix within a word for free
         of_kind: Counter[str] = Counter()
         for c, n in single.items():
@@ -244,8 +266,19 @@ class Labeller:
 
 
 def fitted(lang_samples: DataFrame) -> Model:
-    rows = lang_samples.select("sample_text").dropna().limit(SAMPLE_ROWS).collect()
-    return Model([r.sample_text for r in rows])
+    """The model of all samples; the empty pair holds their number."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        double: Counter[str] = Counter()
+        for b in batches:
+            double += bigrams(b.column(0).to_pylist())
+            double[""] += b.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array(list(double), pa.string()), pa.array(list(double.values()), pa.int64())], names=["pair", "n"])
+
+    rows = lang_samples.select("sample_text").dropna().mapInArrow(count, "pair string, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    double = Counter(dict(zip(rows["pair"].to_pylist(), rows["n"].to_pylist())))
+    n_samples = double.pop("", 0)
+    return Model.counted(double, n_samples)
 
 
 def garbled_fields(documents: DataFrame, lang_samples: DataFrame) -> DataFrame:

@@ -195,6 +195,28 @@ def test_long_line(spark, samples):
     assert language.languages(docs(spark, [{"doc_id": 1, "content": "The river and the garden are old. " * 20_000}]), samples).head().lang == "en"
 
 
+def late_samples(spark, samples):
+    """More than 20 000 plain rows before the rows of other scripts."""
+    plain = spark.range(20_500, numPartitions=4).selectExpr("id as sample_id", "'en' as lang", "'the old bridge' as sample_text")
+    return plain.unionByName(samples.select("sample_id", "lang", "sample_text").coalesce(1))
+
+
+def garbled(text, how=("cp1251", "cp1252")):
+    read = {b: c for c, b in charset._byte_of(how[1]).items()}
+    return "".join(chr(b) if b < 128 else read[b] for b in text.encode(how[0]))
+
+
+def test_wrapper_of_late_script(spark, samples):
+    """A menu line that is garbled on one page is known by the samples' last rows too."""
+    rows = page_rows(40)
+    menu = "Новости города и области"
+    for r in rows:
+        lines = r["content"].split("\n")
+        r["content"] = "\n".join([*lines[:4], menu if r["doc_id"] != 1 else garbled(menu, ("koi8-r", "cp1251")), *lines[4:]])
+    found = pages.wrapper_lines(docs(spark, rows), late_samples(spark, samples)).filter("doc_id = 1")
+    assert {r.line_no for r in found.collect()} == {1, 2, 5, 9, 10}
+
+
 # problem 2
 
 
