@@ -217,6 +217,13 @@ def test_wrapper_of_late_script(spark, samples):
     assert {r.line_no for r in found.collect()} == {1, 2, 5, 9, 10}
 
 
+def test_response_of_late_script(spark, samples):
+    """A page whose address and title say what its body says is no response, in the script of the samples' last rows too."""
+    rows = [*page_rows(), {"doc_id": 900, "url": "https://one.example/a", "title": "Прогулка вдоль тихой реки", "content": "Прогулка вдоль тихой реки"}]
+    found = pages.response_pages(docs(spark, rows), late_samples(spark, samples))
+    assert {r.doc_id for r in found.collect()} == {i for i in range(160) if i % 40 in (7, 13)}
+
+
 # problem 2
 
 
