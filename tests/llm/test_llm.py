@@ -275,6 +275,16 @@ def test_clean_text_stays(model):
     assert labeller.spans(lost) and labeller.restored(lost, labeller.spans(lost)) == lost
 
 
+def test_model_of_all_samples(spark, samples):
+    """Every row of the samples counts, however many there are and wherever they lie."""
+    late = late_samples(spark, samples)
+    assert charset.fitted(samples).__dict__ == charset.Model([r.sample_text for r in samples.collect()]).__dict__
+    assert charset.fitted(late).__dict__ == charset.Model([r.sample_text for r in late.collect()]).__dict__
+    text = "Вчера в городе открыли новый мост через реку."
+    found = charset.garbled_fields(docs(spark, [{"doc_id": 1, "content": garbled(text), "title": text}]), late).collect()
+    assert [(r.doc_id, r.field, r.restored) for r in found] == [(1, "content", text)]
+
+
 # problem 6
 
 
