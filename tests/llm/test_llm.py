@@ -159,6 +159,31 @@ def test_collocations_decide(spark):
     assert len(set(np.flatnonzero(judged(spark, rows, flat).p5)) & set(range(480, 504))) <= 12
 
 
+def test_rarer_pairs(spark, samples, monkeypatch):
+    """Pages are judged by the counts of all their pairs: how many documents a pair needs to be sent along changes nothing."""
+    rng = random.Random(12)
+    rows = page_rows()
+    for i in range(8):
+        keys = [f"{a} {w}{rng.choice('.?!')}" for a, w in [(rng.choice(("Cheap", "Best price", "Top 10", "Online", "Buy")), rng.choice(("car rental", "sofa bed"))) for _ in range(60)]]
+        rows.append({"doc_id": 900 + i // 2, "url": f"https://s{i}.example/a", "title": "A", "content": " ".join(keys)})  # ids come twice
+    d = docs(spark, rows)
+    stuffed = Counter(i for i in range(160) if i % 40 == 21) + Counter({900 + i: 2 for i in range(4)})
+    for share in (pages.PAIR_SHARE, 0.1, 2.0):
+        monkeypatch.setattr(pages, "PAIR_SHARE", share)
+        assert Counter(r.doc_id for r in pages.stuffed_pages(d, samples).collect()) == stuffed
+        assert {r.doc_id for r in pages.response_pages(d, samples).collect()} == {i for i in range(160) if i % 40 in (7, 13)}
+
+
+def test_sites_are_told_apart(spark):
+    """Two sites are two, whatever their hashes have in common."""
+    bins = defaultdict(list)
+    for i in range(64):
+        bins[pages.xxhash.xxh64_intdigest(f"s{i}.example", 4) % 63].append(f"s{i}.example")
+    a, b = next(names for names in bins.values() if len(names) > 1)[:2]
+    spread = lambda sites: pages.knowledge(docs(spark, [{"doc_id": i, "url": f"https://{s}/", "content": "bridge"} for i, s in enumerate(sites)])).word_spread.tolist()
+    assert spread([a, b, a]) == [True] and spread([a, a, a]) == [False]
+
+
 def test_response_evidence(spark):
     """Without word and segment evidence of the corpus error pages are missed; address and title decide medium evidence."""
     rows = page_rows()
