@@ -174,6 +174,14 @@ def test_rarer_pairs(spark, samples, monkeypatch):
         assert {r.doc_id for r in pages.response_pages(d, samples).collect()} == {i for i in range(160) if i % 40 in (7, 13)}
 
 
+def test_rarer_words(spark, samples, monkeypatch):
+    """Words too rare to be sent along still tell on which pages they stand."""
+    monkeypatch.setattr(pages, "WORD_SHARE", 0.3)
+    d = docs(spark, page_rows())
+    assert {r.doc_id for r in pages.response_pages(d, samples).collect()} == {i for i in range(160) if i % 40 in (7, 13)}
+    assert {r.doc_id for r in pages.stuffed_pages(d, samples).collect()} == {i for i in range(160) if i % 40 == 21}
+
+
 def test_sites_are_told_apart(spark):
     """Two sites are two, whatever their hashes have in common."""
     bins = defaultdict(list)
